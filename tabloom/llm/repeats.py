@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.shared import LAST
 from tabloom.llm.textcore import U64, Words, chunks, prefix_hash, ranges, sliding_min, span_hash, window_hashes
 
-LAST = (1 << 63) - 1
 UNIT = "d long, th long, start long, n long, key long, ctx long"
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LAST = (1 << 63) - 1
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -51,6 +52,28 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written side is broadcast, at about 16 bytes a row; beyond it, joins are shuffled.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(d, th, row): the id with null as the largest, a hash of the text, and all columns of docs."""
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("th"), row.alias("row"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all columns, less the documents (d, th) of a written table."""
+    left = keyed(docs).join(small(gone.select("d", "th")), ["d", "th"], "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that has an edge and is not the least of its component, with the least.
 

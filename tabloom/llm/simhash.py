@@ -65,12 +65,19 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: i
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each document as a signed 64-bit number."""
 
+    return fingerprints_of(docs.select(F.lit(0).cast("long").alias("th"), "doc_id", "text"), shingle).select("doc_id", "fp")
+
+
+def fingerprints_of(rows: DataFrame, shingle: int) -> DataFrame:
+    """(th, doc_id, fp) of rows (th, doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in chunks(batch.column(1)):
-                yield pa.record_batch([batch.column(0).slice(at, len(offsets) - 1), pa.array(fingerprint(data, offsets, shingle).view(np.int64))], ["doc_id", "fp"])
+            for at, data, offsets in chunks(batch.column(2)):
+                n = len(offsets) - 1
+                yield pa.record_batch([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(fingerprint(data, offsets, shingle).view(np.int64))], ["th", "doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "th long, doc_id long, fp long")
 
 
 def vantage_pairs(index: np.ndarray, query: np.ndarray, radius: int, leaf: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,9 +199,30 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     are not read.
     """
     fps = shared.table(fingerprints(docs, shingle))
+    return fps.join(named(fps, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def named(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of a written table of fingerprints (doc_id, fp)."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = shared.components(links(nodes, radius))
     nodes = nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = shared.table(nodes.join(ids, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return shared.table(nodes.join(ids, "root").select("fp", "component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """docs, all columns, with one document of each group: the least doc_id; of rows that share it, one."""
+    rows = shared.keyed(docs)
+    fps = shared.table(rows.select("th", F.col("d").alias("doc_id"), F.col("row.text").alias("text")).transform(lambda x: fingerprints_of(x, shingle)))
+    groups = fps.select("doc_id", "fp").transform(lambda x: named(x, radius))
+    placed = fps.join(groups, "fp")
+    first = placed.where("doc_id = component_id").groupBy("component_id").agg(F.min("th").alias("least"), F.count(F.lit(1)).alias("n"))
+    both = placed.join(first, "component_id")
+    gone = shared.table(both.where("doc_id <> component_id or th <> least").select(F.col("doc_id").alias("d"), "th").distinct())
+    left = shared.without(docs, gone)
+    again = shared.table(first.where("n > 1").select(F.col("component_id").alias("d"), F.col("least").alias("th")))
+    # rows that repeat both id and text: rare, and only they are dealt out by a key
+    columns = docs.columns
+    more = shared.keyed(left).join(shared.small(again), ["d", "th"], "left_semi").dropDuplicates(["d", "th"]).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return shared.without(left, again).unionByName(more)

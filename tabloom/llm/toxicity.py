@@ -107,7 +107,6 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     prior = min(max(float(share), 1e-3), 0.5)
     order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
     sampled = known.where("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(1).alias("positive"))
-    # a hash threshold first, so that only a few rows are sorted
     rest = docs.select("doc_id").where("doc_id is not null").where(~held_out()).orderBy(*order).limit(unlabelled + positives)
     rest = rest.join(F.broadcast(sampled), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", F.lit(0).alias("positive"))
     chosen = F.broadcast(sampled.unionByName(rest))
@@ -166,3 +165,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(at, len(offsets) - 1), pa.array(model.score(data, offsets))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, that score under the threshold."""
+    columns = docs.columns
+    inner = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in chunks(batch.column(0)):
+                keep = pa.array(model.score(data, offsets) < threshold)
+                yield pa.record_batch([batch.column(1).slice(at, len(offsets) - 1).filter(keep)], ["row"])
+
+    kept = inner.mapInArrow(run, inner.select("row").schema)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
