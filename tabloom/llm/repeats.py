@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm import shared
 from tabloom.llm.shared import LAST
 from tabloom.llm.textcore import U64, Words, chunks, prefix_hash, ranges, sliding_min, span_hash, window_hashes
 
-UNIT = "d long, th long, start long, n long, key long, ctx long"
+UNIT = "d long, th long, start long, n long, off long, key long, ctx long"
 
 
 class WordSequences:
@@ -48,7 +49,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def units_of(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, start in it, windows, key, hash of all the unit's values) of each unit."""
+    """(document, start in it, windows, place of the key behind the start, key, hash of all the unit's values) of each unit."""
     width = size - gram + 1
     prefix = prefix_hash(values)
     grams = window_hashes(prefix, gram)
@@ -62,7 +63,7 @@ def units_of(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tu
     first = np.flatnonzero(new & inside)
     last = np.flatnonzero(inside & np.append((new | ~inside)[1:], True)) if n else first
     doc = docs[first]
-    return doc, first - bounds[doc], last - first + 1, grams[at[first]], span_hash(prefix, first, last + size)
+    return doc, first - bounds[doc], last - first + 1, at[first] - first, grams[at[first]], span_hash(prefix, first, last + size)
 
 
 def units(docs: DataFrame, kind: type, size: int, gram: int) -> DataFrame:
@@ -73,17 +74,21 @@ def units(docs: DataFrame, kind: type, size: int, gram: int) -> DataFrame:
             d, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, data, offsets in chunks(batch.column(2), kind.most):
                 found = kind(data, offsets)
-                doc, start, n, key, ctx = units_of(found.values, found.bounds, size, gram)
-                yield pa.record_batch([pa.array(c) for c in (d[at + doc], th[at + doc], start, n, key.view(np.int64), ctx.view(np.int64))], [x.split()[0] for x in UNIT.split(", ")])
+                doc, start, n, off, key, ctx = units_of(found.values, found.bounds, size, gram)
+                yield pa.record_batch([pa.array(c) for c in (d[at + doc], th[at + doc], start, n, off, key.view(np.int64), ctx.view(np.int64))], [x.split()[0] for x in UNIT.split(", ")])
 
     return docs.select("d", "th", "text").mapInArrow(run, UNIT)
 
 
 def candidates(docs: DataFrame, kind: type, size: int, gram: int) -> DataFrame:
-    """The units whose key is found more than once."""
+    """The units whose key is found more than once, as a written table.
+
+    The repeated keys are written first: a join whose sides are both shuffles of
+    their own can split a key that many units have.
+    """
     found = units(docs, kind, size, gram)
-    again = found.groupBy("key").count().where("count > 1").select("key")
-    return found.join(again, "key", "left_semi").select(*[x.split()[0] for x in UNIT.split(", ")])
+    again = shared.table(found.groupBy("key").count().where("count > 1").select("key"))
+    return shared.table(found.join(again, "key", "left_semi").select(*[x.split()[0] for x in UNIT.split(", ")]))
 
 
 def hashed_windows(docs: DataFrame, wanted: DataFrame, kind: type, size: int) -> DataFrame:

@@ -58,14 +58,14 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 13) -> DataFr
     """
     kind = repeats.WordSequences
     source = repeats.keyed(docs)
-    units = shared.table(repeats.candidates(source, kind, window, gram))
-    contexts = units.groupBy("key", "ctx").agg(F.min("d").alias("m"), F.count(F.lit(1)).alias("c"))
+    units = repeats.candidates(source, kind, window, gram)
+    contexts = shared.table(units.groupBy("key", "ctx").agg(F.min("d").alias("m")))
     seen = units.join(contexts, ["key", "ctx"])
     whole = seen.where("d > m").select("d", "th", "start", "n")
-    several = contexts.groupBy("key").count().where("count > 1").select("key")
+    several = shared.table(contexts.groupBy("key").count().where("count > 1").select("key"))
     wanted = seen.where("d = m").join(several, "key", "left_semi").select("d", "th", "start", "n")
     windows = shared.table(repeats.hashed_windows(source, wanted, kind, window))
-    again = windows.groupBy("h1", "h2").agg(F.min("d").alias("m"), F.max("d").alias("most")).where("m < most").select("h1", "h2", "m")
+    again = shared.table(windows.groupBy("h1", "h2").agg(F.min("d").alias("m"), F.max("d").alias("most")).where("m < most").select("h1", "h2", "m"))
     single = windows.join(again, ["h1", "h2"]).where("d > m").select("d", "th", "start", F.lit(1).cast("long").alias("n"))
     joined = repeats.marked(source, whole.union(single))
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,end:long>>")

@@ -7,7 +7,10 @@ positions are sorted by triples, names of triples are sorted by recursion, the o
 suffixes are merged in, and adjacent suffixes are compared over the window's length.
 
 A key with more different units than a shard may hold does not go to one task: its
-windows are counted by 128-bit hashes instead, which finds the same strings.
+units are cut by where the key stands in a window, first into blocks of 64 places,
+then of 8 and of 1.  What the windows of a block have in common is the new key, so
+that only windows which agree in more and more of their bytes stay together; with
+blocks of one place they agree in all.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import repeats, shared
-from tabloom.llm.textcore import U64, chunks, lanes, ranges
+from tabloom.llm.textcore import U64, chunks, lanes, mix, prefix_hash, ranges, span_hash
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -90,21 +93,65 @@ def repeated(data: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+PIECE = "key long, ctx long, d long, th long, start long, off long, text binary"
+_NAMES = [x.split()[0] for x in PIECE.split(", ")]
+BLOCKS = (64, 8, 1)
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(length)))
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a batch holds more than 2 GB of units")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data[ranges(begin, length)].tobytes())])
+
+
 def _units_text(size: int):
+    """The text of each unit that a document's runs name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, th, lists = batch.column(0), batch.column(1), batch.column(3)
             for at, data, offsets in chunks(batch.column(2), 1_000_000):
                 own = lists.slice(at, len(offsets) - 1)
                 flat, doc = own.flatten(), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-                start, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                begin, length = offsets[doc] + start, n + size - 1
-                ends = np.concatenate(([0], np.cumsum(length)))
-                if ends[-1] >= 1 << 31:
-                    raise ValueError("a batch holds more than 2 GB of units")
-                text = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data[ranges(begin, length)].tobytes())])
+                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
                 row = pa.array(at + doc)
-                yield pa.record_batch([flat.field(2), d.take(row), th.take(row), pa.array(start), text], ["key", "d", "th", "start", "text"])
+                text = _binary(data, offsets[doc] + start, n + size - 1)
+                yield pa.record_batch([flat.field("key"), flat.field("ctx"), d.take(row), th.take(row), pa.array(start), flat.field("off"), text, flat.field("hot")], [*_NAMES, "hot"])
+
+    return run
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _split(size: int, block: int):
+    """Units cut where the key's place in the window passes a multiple of ``block``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                rows = batch.slice(first, 1024)
+                data, bounds = _bytes_of(rows.column(6))
+                off, start = rows.column(5).to_numpy(), rows.column(4).to_numpy()
+                n = np.diff(bounds) - size + 1
+                # window j of a unit has its key at off - j
+                high, low = off // block, (off - n + 1) // block
+                parts = high - low + 1
+                unit = np.repeat(np.arange(len(n)), parts)
+                b = high[unit] - (np.arange(len(unit)) - np.repeat(np.cumsum(parts) - parts, parts))
+                begin = np.maximum(off[unit] - ((b + 1) * block - 1), 0)
+                end = np.minimum(off[unit] - b * block, n[unit] - 1) + 1
+                place = bounds[unit] + off[unit]  # of the key
+                prefix = prefix_hash(data.astype(np.uint64) + U64(1))
+                common = span_hash(prefix, place - b * block, place - ((b + 1) * block - 1) + size)
+                key = mix(rows.column(0).to_numpy().view(np.uint64)[unit] * U64(31) + b.astype(np.uint64)) ^ common
+                ctx = span_hash(prefix, bounds[unit] + begin, bounds[unit] + end + size - 1)
+                at = pa.array(unit)
+                text = _binary(data, bounds[unit] + begin, end - begin + size - 1)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), rows.column(2).take(at), rows.column(3).take(at), pa.array(start[unit] + begin), pa.array(off[unit] - begin), text], _NAMES)
 
     return run
 
@@ -112,10 +159,7 @@ def _units_text(size: int):
 def _shards(size: int, most: int = 1_500_000):
     def solve(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        text = rows.column("text").chunk(0)
-        offsets = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).astype(np.int64)
-        data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        bounds = offsets - offsets[0]
+        data, bounds = _bytes_of(rows.column("text").chunk(0))
         row, begin, end = repeats.spans(repeated(data, bounds, size), bounds)
         start = rows.column("start").to_numpy()
         return pa.record_batch([rows.column("d").chunk(0).take(pa.array(row)), rows.column("th").chunk(0).take(pa.array(row)), pa.array(start[row] + begin), pa.array(end - begin)], ["d", "th", "start", "n"])
@@ -127,8 +171,7 @@ def _shards(size: int, most: int = 1_500_000):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 held.append(part)
-                lengths = np.diff(np.frombuffer(part.column(4).buffers()[1], np.int32, part.num_rows + 1, part.column(4).offset * 4))
-                volume += int(lengths.sum())
+                volume += len(_bytes_of(part.column(4))[0])
                 if volume >= most:
                     rows = pa.Table.from_batches(held)
                     keys = rows.column("key").to_numpy()
@@ -137,7 +180,7 @@ def _shards(size: int, most: int = 1_500_000):
                         yield solve(rows.slice(0, last))
                         rest = rows.slice(last).combine_chunks()
                         held = rest.to_batches()
-                        volume = sum(len(x) for x in rest.column("text").to_pylist())
+                        volume = sum(len(_bytes_of(x.column(4))[0]) for x in held)
         if held and sum(x.num_rows for x in held):
             yield solve(pa.Table.from_batches(held))
 
@@ -171,24 +214,36 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, hot: int =
     Null and empty texts have no bytes; a null doc_id stays null; repeated rows are
     each other's copies; very long texts are read whole; an empty table gives no
     rows; other columns are not read.  ``gram`` steers only the cost; ``hot`` is the
-    number of different units of one key above which hashes are counted instead.
+    number of different units of one key above which they are cut into blocks.
     """
     kind = repeats.ByteSequences
     source = repeats.keyed(docs)
-    units = shared.table(repeats.candidates(source, kind, length, gram))
-    contexts = units.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "start", "n")).alias("at"))
-    whole = units.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select("d", "th", "start", "n")
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    wanted = shared.table(contexts.select("key", "at.*").join(several, "key"))
-
-    runs = wanted.where(F.col("k") <= hot).groupBy("d", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
+    units = repeats.candidates(source, kind, length, gram)
+    contexts = shared.table(units.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "start", "n", "off")).alias("at")))
+    whole = units.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("d", "th", "start", "n")
+    several = shared.table(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    wanted = contexts.select("key", "ctx", "at.*").join(several, "key").withColumn("hot", F.col("k") > hot)
+    runs = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n", "key", "ctx", "off", "hot")).alias("runs"))
+    # documents that agree in id and text have the same units; each is taken once
     texts = source.select("d", "th", "text").join(runs.hint("shuffle_hash"), ["d", "th"])
-    # rows that agree in id and text are asked for once
-    texts = texts.mapInArrow(_units_text(length), "key long, d long, th long, start long, text binary")
-    shards = texts.repartition("key").sortWithinPartitions("key", "d", "th", "start").mapInArrow(_shards(length), "d long, th long, start long, n long")
-    windows = repeats.hashed_windows(source, wanted.where(F.col("k") > hot), kind, length)
-    counted = shared.table(windows)
-    again = counted.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    single = counted.join(again, ["h1", "h2"], "left_semi").select("d", "th", "start", F.lit(1).cast("long").alias("n"))
-    joined = repeats.marked(source, whole.union(shards).union(single))
+    texts = shared.table(texts.mapInArrow(_units_text(length), f"{PIECE}, hot boolean"))
+    flagged = whole.union(_sorted(texts.where("not hot"), length))
+    crowded = texts.where("hot").drop("hot").dropDuplicates(["key", "ctx"])
+    for block in BLOCKS:
+        if crowded.isEmpty():
+            break
+        pieces = shared.table(crowded.mapInArrow(_split(length, block), PIECE))
+        contexts = shared.table(pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c")))
+        same = pieces.join(contexts.where("c > 1"), ["key", "ctx"], "left_semi")
+        several = shared.table(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        rest = shared.table(pieces.dropDuplicates(["key", "ctx"]).join(several, "key").select(*_NAMES, (F.col("k") > hot).alias("hot")))
+        flagged = flagged.union(same.select("d", "th", "start", (F.length("text") - length + 1).cast("long").alias("n"))).union(_sorted(rest.where("not hot"), length))
+        crowded = rest.where("hot").drop("hot")
+    joined = repeats.marked(source, flagged)
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
+
+
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    """The repeated windows (d, th, start, n) of units, by suffix arrays of shards."""
+    rows = rows.select("key", "d", "th", "start", "text").repartition("key").sortWithinPartitions("key", "d", "th", "start")
+    return rows.mapInArrow(_shards(length), "d long, th long, start long, n long")
