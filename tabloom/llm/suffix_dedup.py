@@ -229,7 +229,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, hot: int =
     texts = shared.table(texts.mapInArrow(_units_text(length), f"{PIECE}, hot boolean"))
     flagged = whole.union(_sorted(texts.where("not hot"), length))
     crowded = texts.where("hot").drop("hot").dropDuplicates(["key", "ctx"])
-    for block in BLOCKS:
+    for block in [b for b in BLOCKS if b < length]:
         if crowded.isEmpty():
             break
         pieces = shared.table(crowded.mapInArrow(_split(length, block), PIECE))
