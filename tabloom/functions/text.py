@@ -6,6 +6,7 @@ A cell is a string that is never null: ``cell`` makes one of any column.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def cell(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, all of Unicode's."""
     return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")

@@ -19,7 +19,7 @@ def spark():
     from tabloom.session import session
 
     found = session(
-        "local[8]", "tests",
+        f"local[{os.environ.get('TEST_CPUS', 8)}]", "tests",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"},
     )
     found.sparkContext.setLogLevel("ERROR")
