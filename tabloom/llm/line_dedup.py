@@ -5,7 +5,7 @@ threshold share at least one of them unchanged, so each line is looked up by the
 substrings of itself that could be a segment of a line of nearly its length, at
 starts that the edits before and behind allow.  Keys that two different lines use
 are kept; lines under such a key are paired if counts of letters allow so few
-edits, and verified by Spark's banded edit distance.
+edits, and verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -31,20 +31,28 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _keys(threshold: int) -> Column:
-    """An array of (key, is_probe) of the columns line and size: its segments, and the substrings to look up."""
-    parts, found = threshold + 1, []
-    for less in range(threshold + 1):
-        size = F.col("size") - less
-        for i in range(parts):
-            begin, end = F.floor(size * i / parts), F.floor(size * (i + 1) / parts)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                probe = less > 0 or shift != 0  # else a segment, by which lines of equal size find each other
-                at = begin + shift
-                key = F.xxhash64(F.lit(i), size, F.substring("line", (at + 1).cast("int"), (end - begin).cast("int")))
-                inside = (at >= 0) & (at + end - begin <= F.col("size"))
-                found.append(F.when(inside, F.struct(key.alias("key"), F.lit(probe).alias("probe"))))
-    return F.array_compact(F.array(*found))
+def _places(threshold: int) -> Column:
+    """Fixed values (segment, by how much the other line is shorter, shift) of all that a line is looked up by."""
+    parts = threshold + 1
+    return F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift"))
+        for less in range(parts) for i in range(parts) for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1)
+    ])
+
+
+def _probes(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, key, probe): the segments of each line, and with probe the substrings that could be a segment of another.
+
+    A key holds the segment's number and its line's length.  Lines of one byte a
+    character are cut as bytes, without a walk to the place.
+    """
+    parts = threshold + 1
+    rows = lines.select("line", "size", F.encode("line", "UTF-8").alias("raw"), F.xxhash64("line").alias("h1"), F.explode(_places(threshold)).alias("c"))
+    size, i = F.col("size") - F.col("c.less"), F.col("c.i")
+    rows = rows.select("*", size.alias("s"), (F.expr(f"(size - c.less) * c.i div {parts}").cast("int") + F.col("c.shift")).alias("at"), F.expr(f"(size - c.less) * (c.i + 1) div {parts} - (size - c.less) * c.i div {parts}").cast("int").alias("long"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size")))
+    part = F.when(F.octet_length("line") == F.col("size"), F.xxhash64(F.substring("raw", F.col("at") + 1, F.col("long")))).otherwise(F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long"))))
+    return rows.select("h1", F.xxhash64("c.i", "s", part).alias("key"), ((F.col("c.less") > 0) | (F.col("c.shift") != 0)).alias("probe"))
 
 
 def _signature() -> Column:
@@ -65,26 +73,90 @@ def _apart(a: str, b: str) -> Column:
     return total
 
 
+def edit_distance(left: Column, right: Column, threshold: int) -> Column:
+    """Edit distance of two lines of at least ``threshold`` characters, or threshold + 1 if it is more.
+
+    Only the band of 2 * threshold + 1 rows around the diagonal is kept, as the bits of
+    two numbers for steps up and steps down; a character moves the band down by one and
+    costs a few bit operations.  Where the band has passed the last row, the distance is
+    followed along that row.
+    """
+    width = 2 * threshold + 1
+    full, bottom = F.lit((1 << width) - 1), width - 1
+    inverse = lambda x: F.bitwise_not(x).bitwiseAND(full)
+
+    def banded(t: Column) -> Column:
+        rows, size = t["p"], F.size(t["p"])
+
+        def equal(c: Column, j: Column) -> Column:
+            """The bits of the band's rows that have the character."""
+            found = F.lit(0)
+            for b in range(width):
+                found = found + F.when(F.get(rows, j + (b - threshold)) == c, F.lit(1 << b)).otherwise(F.lit(0))
+            return found
+
+        def step(s: Column, same: Column) -> Column:
+            up, down = s["up"], s["down"]
+
+            def moved(flat: Column) -> Column:
+                """flat: where the diagonal step costs nothing."""
+                rise, fall = down.bitwiseOR(inverse(flat.bitwiseOR(up))), flat.bitwiseAND(up)
+                before = F.shiftrightunsigned(flat, 1)
+                last = F.lit(bottom) - (s["j"] + threshold - size)
+                cost = F.when(s["j"] + threshold <= size, 1 - F.getbit(flat, F.lit(bottom)).cast("int")).otherwise(F.getbit(rise, last).cast("int") - F.getbit(fall, last).cast("int"))
+                return F.struct(fall.bitwiseOR(inverse(before.bitwiseOR(rise))).alias("up"), before.bitwiseAND(rise).alias("down"), (s["cost"] + cost).alias("cost"), (s["j"] + 1).alias("j"))
+
+            flat = (same.bitwiseAND(up) + up).bitwiseAND(full).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down)
+            return F.get(F.transform(F.array(flat), moved), F.lit(0))
+
+        start = F.struct(F.lit(((1 << threshold + 1) - 1) << threshold).alias("up"), F.lit(0).alias("down"), F.lit(threshold).alias("cost"), F.lit(1).alias("j"))
+        end = F.aggregate(F.transform(t["x"], equal), start, step, lambda s: s["cost"])
+        return F.when(F.abs(size - F.size(t["x"])) > threshold, threshold + 1).otherwise(F.least(end, F.lit(threshold + 1)))
+
+    # bound as one value, so that the lines are cut into characters once
+    both = F.array(F.struct(F.split(left, "").alias("p"), F.split(right, "").alias("x")))
+    return F.get(F.transform(both, banded), F.lit(0))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of names whose lines are within the edit distance."""
+    named = lambda name, line: texts.select(F.col("name").alias(name), F.col("line").alias(line))
+    both = pairs.join(named("a", "left"), "a").join(named("b", "right"), "b")
+    return both.where(edit_distance(F.col("left"), F.col("right"), threshold) <= threshold).select("a", "b")
+
+
 def line_links(docs: DataFrame, threshold: int = 2, shortest: int = 20) -> DataFrame:
-    """(a, b): all pairs of different lines of at least ``shortest`` characters within the edit distance.
+    """(a, b): links of different lines of at least ``shortest`` characters within the edit distance, enough to join all that any links join.
 
-    Lines are named by 32 hexadecimal digits of their hashes; a < b.
+    Lines are named by 32 hexadecimal digits of their hashes; a < b.  Under each key all
+    lines are first compared with one of them.  Lines that these links have joined need
+    no link among themselves, so that a crowd of near copies costs a comparison each;
+    then lines under a key that are still apart are compared in pairs.
     """
     lines = _lines(docs).withColumn("size", F.length("line")).where(F.col("size") >= shortest)
-    own = lines.select(F.xxhash64("line").alias("h1"), "size", _keys(threshold).alias("keys"))
-    used = own.select("h1", F.explode("keys.key").alias("key")).groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-    shared_keys = shared.table(used.where("low <> high").select("key"))
-    rows = lines.select(F.xxhash64("line").alias("h1"), "size", _signature().alias("sign"), F.explode(_keys(threshold)).alias("k")).select("h1", "size", "sign", "k.*")
-    rows = shared.table(rows.join(shared.small(shared_keys), "key").distinct())
-    a, b = rows.where("not probe").alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & (_apart("a.sign", "b.sign") <= 2 * threshold) & (F.col("b.probe") | (F.col("a.h1") < F.col("b.h1"))))
-    pairs = shared.table(pairs.select(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).distinct())
-    ids = shared.table(pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct())
+    probes = _probes(lines, threshold)
+    used = probes.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("probe").alias("probe"))
+    keys = shared.table(used.where("low <> high and not probe").select("key"))
+    rows = shared.table(probes.join(shared.small(keys), "key").distinct())
+    ids = shared.table(rows.select("h1").distinct())
     texts = _hashed(lines).join(shared.small(ids), "h1").select("h1", "h2", "line").distinct()
-    texts = shared.table(texts.select("h1", "line", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]).alias("name")))
-    verified = pairs.join(texts.select(F.col("h1").alias("x"), F.col("line").alias("left"), F.col("name").alias("a")), "x").join(texts.select(F.col("h1").alias("y"), F.col("line").alias("right"), F.col("name").alias("b")), "y")
-    verified = verified.where(F.levenshtein("left", "right", threshold) >= 0)
-    return verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    texts = shared.table(texts.select("h1", "line", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]).alias("name"), _signature().alias("sign")))
+    members = shared.table(rows.join(texts.select("h1", "name", "sign"), "h1").select("key", "probe", "name", "sign"))
+
+    centre = members.where("not probe").groupBy("key").agg(F.min(F.struct("name", "sign")).alias("c"))
+    near = members.join(centre, "key").where((F.col("name") != F.col("c.name")) & (_apart("sign", "c.sign") <= 2 * threshold))
+    near = near.select(F.least("name", "c.name").alias("a"), F.greatest("name", "c.name").alias("b")).distinct()
+    first = shared.table(_verified(near, texts, threshold))
+
+    joined = shared.components(first)
+    placed = members.join(joined.select(F.col("a").alias("name"), F.col("b").alias("class")), "name", "left").join(centre, "key").where(F.col("name") != F.col("c.name"))
+    placed = placed.select("key", "probe", "name", "sign", F.coalesce("class", "name").alias("class"))
+    apart = shared.table(placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("probe").alias("probe")).where("low <> high and not probe").select("key"))
+    left = placed.join(apart, "key")
+    a, b = left.where("not probe").alias("a"), left.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & (_apart("a.sign", "b.sign") <= 2 * threshold) & (F.col("b.probe") | (F.col("a.name") < F.col("b.name"))))
+    pairs = pairs.select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b")).distinct()
+    return first.unionByName(_verified(pairs, texts, threshold))
 
 
 def cut(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
