@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import duckdb
 import pytest
+from llm_rows import rows_of
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
 CLASHES = ("d", "th", "row", "key", "h1", "count", "a", "b", "start", "n", "runs", "text_", "pos", "level")
 
 
-def rows_of(table: str, sf: str = SF) -> list[tuple]:
-    return duckdb.sql(f"select * from '{sf}/{table}.parquet'").fetchall()
-
-
 @pytest.fixture(scope="session")
 def documents() -> list[tuple]:
     """(doc_id, text) of the smallest table and edge cases: null, empty, blank, repeated rows, ties of ids, a null id, a very long text."""
