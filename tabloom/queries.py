@@ -137,7 +137,7 @@ def sort_text_numbers(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "MACHINERY", "  ").otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("b"))
     out = sorting.sort(rows, "b:desc", order="c_custkey").limit(200)
     # a row for each of 200 rows
-    return out.withColumn("place", F.row_number().over(Window.orderBy(numbers.floating(F.col("b")).desc_nulls_last(), "c_custkey")))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(numbers.floating(F.col("b")).desc_nulls_last(), "c_custkey")).cast("long"))
 
 
 @query("select o_orderkey, md5('42:' || o_orderkey) as draw from orders order by md5('42:' || o_orderkey), o_orderkey limit 100")
@@ -435,7 +435,7 @@ def top_words(spark, sf):
 
 
 @query(r"""
-    select count(*) as texts, sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*'))) as words, sum(length(text)) as chars,
+    select count(*) as texts, cast(sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*'))) as bigint) as words, cast(sum(length(text)) as bigint) as chars,
       (select count(distinct lower(w)) from (select unnest(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) as w from documents)) as "unique" from documents""")
 def word_totals(spark, sf):
     found = lines.word_totals(table(spark, sf, "documents").select("text"), exact_case=False)
