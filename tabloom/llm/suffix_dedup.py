@@ -127,13 +127,19 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _split(size: int, block: int):
-    """Units cut where the key's place in the window passes a multiple of ``block``."""
+def _split(size: int, block: int, most: int = 2_000_000):
+    """Units cut where the key's place in the window passes a multiple of ``block``.
+
+    Blocks of one place are whole windows, which key and ctx name by 128 bits, so they
+    have no text.  Rows are taken so few at a time that their pieces stay within
+    ``most`` bytes, as a unit has no more than ``size`` windows.
+    """
+    at_once = max(1, most // ((size // block + 2) * (size + block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                rows = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, at_once):
+                rows = batch.slice(first, at_once)
                 data, bounds = _bytes_of(rows.column(6))
                 off, start = rows.column(5).to_numpy(), rows.column(4).to_numpy()
                 n = np.diff(bounds) - size + 1
@@ -148,9 +154,9 @@ def _split(size: int, block: int):
                 prefix = prefix_hash(data.astype(np.uint64) + U64(1))
                 common = span_hash(prefix, place - b * block, place - ((b + 1) * block - 1) + size)
                 key = mix(rows.column(0).to_numpy().view(np.uint64)[unit] * U64(31) + b.astype(np.uint64)) ^ common
-                ctx = span_hash(prefix, bounds[unit] + begin, bounds[unit] + end + size - 1)
+                ctx = span_hash(prefix_hash(data.astype(np.uint64) + U64(1), 1), bounds[unit] + begin, bounds[unit] + end + size - 1, 1)
                 at = pa.array(unit)
-                text = _binary(data, bounds[unit] + begin, end - begin + size - 1)
+                text = _binary(data, bounds[unit] + begin, end - begin + size - 1) if block > 1 else pa.array([b""] * len(unit), pa.binary())
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), rows.column(2).take(at), rows.column(3).take(at), pa.array(start[unit] + begin), pa.array(off[unit] - begin), text], _NAMES)
 
     return run
@@ -235,9 +241,13 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, hot: int =
         pieces = shared.table(crowded.mapInArrow(_split(length, block), PIECE))
         contexts = shared.table(pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c")))
         same = pieces.join(contexts.where("c > 1"), ["key", "ctx"], "left_semi")
+        n = F.length("text") - length + 1 if block > 1 else F.lit(1)
+        flagged = flagged.union(same.select("d", "th", "start", n.cast("long").alias("n")))
+        if block == 1:
+            break
         several = shared.table(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
         rest = shared.table(pieces.dropDuplicates(["key", "ctx"]).join(several, "key").select(*_NAMES, (F.col("k") > hot).alias("hot")))
-        flagged = flagged.union(same.select("d", "th", "start", (F.length("text") - length + 1).cast("long").alias("n"))).union(_sorted(rest.where("not hot"), length))
+        flagged = flagged.union(_sorted(rest.where("not hot"), length))
         crowded = rest.where("hot").drop("hot")
     joined = repeats.marked(source, flagged)
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
