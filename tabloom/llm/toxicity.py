@@ -4,8 +4,8 @@ Confirmed toxic texts are positives; all other sampled texts are unlabelled and
 toxic ones too, at the class prior.  The risk of the negatives is what the unlabelled
 texts show less the prior's share of the positives; where that estimate falls below
 zero, the step raises it again instead of fitting it further (non-negative
-correction).  Features are the presence of words in a text; those that stand out in
-positives are chosen from counts over the sample.
+correction).  Features are the words of a text and how words begin; those whose share
+in positives is beyond chance are chosen from counts over the sample.
 """
 
 from __future__ import annotations
@@ -26,8 +26,17 @@ _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]{}<>*#$%&|_-=+/\\@^~`")] = True
 
 
+#: Bytes of the beginnings of words that are features, and how often a text has them.
+BEGINNINGS, TIMES = (5, 6), (1, 2, 3)
+
+
 def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, word hash) of the different words of each document, lower-cased and without marks at the ends."""
+    """(document, feature hash), each once, in the documents' order.
+
+    Features are the words, lower-cased and without marks at the ends, and how longer
+    words begin: once, twice or more in the text, so that a family of words counts in
+    texts where each of its words is rare.
+    """
     words = Words(data, offsets)
     starts, ends, docs = words.starts.copy(), words.ends.copy(), words.documents()
     for _ in range(3):
@@ -35,10 +44,23 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         starts[trim] += 1
         trim = (ends - starts > 1) & _EDGE[data[ends - 1]] if len(starts) else np.zeros(0, bool)
         ends[trim] -= 1
-    h = range_hashes(_LOWER[data], starts, ends - starts)
-    _, first = np.unique(h ^ mix(docs.astype(np.uint64) + U64(3)), return_index=True)
-    first.sort()
-    return docs[first], h[first]
+    lower = _LOWER[data]
+
+    def different(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, times = np.unique(h ^ mix(d.astype(np.uint64) + U64(3)), return_index=True, return_counts=True)
+        return first, times
+
+    h = range_hashes(lower, starts, ends - starts)
+    first, _ = different(h, docs)
+    found = [(docs[first], h[first])]
+    for size in BEGINNINGS:
+        long = np.flatnonzero(ends - starts > size)
+        h, d = range_hashes(lower, starts[long], np.full(len(long), size), seed=size), docs[long]
+        first, times = different(h, d)
+        found += [(d[first[times >= n]], mix(h[first[times >= n]] ^ U64(n * 7919))) for n in TIMES]
+    d, h = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(d, kind="stable")
+    return d[order], h[order]
 
 
 @dataclass
@@ -59,7 +81,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative PU risk with the logistic loss (Adam)."""
     random = np.random.default_rng(seed)
     size = positive.shape[1]
@@ -92,13 +114,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, vocabulary: int = 1024, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, vocabulary: int = 1024, beyond: float = 5.0, seed: int = 5) -> Model:
     """Train on bounded samples, the least by a hash of doc_id: ``positives`` texts with toxic = 1
     outside the held-out fold, and ``unlabelled`` other texts.
 
     The prior is the share of toxic = 1 among the labelled rows outside the fold.
-    Words are chosen among those in at least 0.5 % of the positives by how far their
-    smoothed log odds and count stand out; at most ``vocabulary`` are kept.
+    Features are chosen among those in at least 0.5 % of the positives, and two of them,
+    if their shares among positives and unlabelled texts are ``beyond`` standard errors
+    apart; the ``vocabulary`` that are farthest apart are kept.
     """
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
@@ -126,8 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    ratio = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
-    best = counts.where(F.col("p") >= max(2, int(0.005 * n_p))).withColumn("rank", F.abs(ratio) * F.sqrt("p")).orderBy(F.desc("rank"), "word").limit(vocabulary)
+    share_p, share_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
+    pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    apart = F.abs(share_p - share_u) / F.sqrt(pooled * F.greatest(1 - pooled, F.lit(1e-9)) * (1 / n_p + 1 / n_u))
+    best = counts.where(F.col("p") >= max(2, 0.005 * n_p)).withColumn("apart", apart).where(F.col("apart") >= beyond).orderBy(F.desc("apart"), "word").limit(vocabulary)
     picked = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
     if not len(picked):
         return Model(picked, np.zeros(0), float(np.log(prior / (1 - prior))))
