@@ -29,7 +29,7 @@ def fill(df: DataFrame, columns: str | Sequence[str] | None = None, within: str
         out = df.select(*[F.when(blank[c], F.lit(value)).otherwise(text.cell(col(c))).alias(c) if c in blank else col(c) for c in df.columns])
         return Result(out, counters={"filled": df.agg(F.coalesce(F.sum(sum(b.cast("int") for b in blank.values())), F.lit(0)).alias("n"))})
     order = ordered.order_of(df, order)
-    rows, run = df, None
+    rows, run = ordered.bucketed(df, order), None
     source = lambda c: F.when(~text.is_blank(col(c)), text.cell(col(c)))
     if within is not None:
         rows = ordered.carried(rows, order, source(within), None, "__within", up)

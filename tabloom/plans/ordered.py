@@ -38,9 +38,12 @@ def order_of(df: DataFrame, order: str | Sequence[str] | None) -> list[str]:
 def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with the number of the bucket that each row's place in the order falls in.
 
-    The bounds come from a bounded sample, the rows with the least hashes; rows of
-    equal order share a bucket, so the order should be total.
+    The bounds come from a bounded sample, the rows with the least hashes, which takes a
+    job; rows of equal order share a bucket, so the order should be total.  A table that
+    has buckets keeps them, through the functions below too.
     """
+    if BUCKET in df.columns:
+        return df
     key = F.struct(*[col(c) for c in order])
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BUCKETS * SAMPLED).orderBy("k").collect()
     bounds = [sample[i]["k"] for i in range(SAMPLED, len(sample), SAMPLED)]
@@ -51,6 +54,10 @@ def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return df.withColumn(BUCKET, F.size(F.filter(F.array(*lits), lambda b: b <= key)))
 
 
+def _without_buckets(out: DataFrame, df: DataFrame) -> DataFrame:
+    return out if BUCKET in df.columns else out.drop(BUCKET)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """df with the row's number in the order, from 0."""
     dealt = bucketed(df, order)
@@ -59,7 +66,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     before = counts.select(BUCKET, F.coalesce(F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inner = Window.partitionBy(BUCKET).orderBy(*[col(c) for c in order])
     rows = dealt.withColumn(name, F.row_number().over(inner)).join(F.broadcast(before), BUCKET)
-    return rows.withColumn(name, col(name) + F.col("__before") - 1).drop(BUCKET, "__before")
+    return _without_buckets(rows.withColumn(name, col(name) + F.col("__before") - 1).drop("__before"), df)
 
 
 def carried(df: DataFrame, order: Sequence[str], value: Column, run: Column | None, name: str, backwards: bool = False) -> DataFrame:
@@ -75,11 +82,11 @@ def carried(df: DataFrame, order: Sequence[str], value: Column, run: Column | No
     outer = Window.orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     # a row for each of at most BUCKETS buckets
     before = buckets.select(BUCKET, F.last("__end", True).over(outer).alias("__before"))
-    rows = rows.withColumn("__last", F.coalesce(F.last("__seen", True).over(inner)))
+    rows = rows.withColumn("__last", F.last("__seen", True).over(inner))
     rows = rows.join(F.broadcast(before), BUCKET)
     found = F.coalesce(F.col("__last"), F.col("__before"))
     same = F.lit(True) if run is None else found["r"] == run
-    return rows.withColumn(name, F.when(same, found["v"])).drop(BUCKET, "__seen", "__last", "__before")
+    return _without_buckets(rows.withColumn(name, F.when(same, found["v"])).drop("__seen", "__last", "__before"), df)
 
 
 def runs(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -97,4 +104,4 @@ def runs(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataF
     sums = rows.groupBy(BUCKET).agg(F.sum("__changed").alias("__n"))
     offsets = sums.select(BUCKET, F.coalesce(F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     rows = rows.withColumn(name, F.sum("__changed").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(offsets), BUCKET)
-    return rows.withColumn(name, col(name) + F.col("__off")).drop(BUCKET, "__value", "__before", "__has", "__changed", "__off")
+    return _without_buckets(rows.withColumn(name, col(name) + F.col("__off")).drop("__value", "__before", "__has", "__changed", "__off"), df)
