@@ -202,26 +202,35 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     return fps.join(named(fps, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def named(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) of a written table of fingerprints (doc_id, fp)."""
+def rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of a written table of fingerprints (doc_id, fp): the least doc_id of each fingerprint, and the least fingerprint that links reach."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = shared.components(links(nodes, radius))
-    nodes = nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def named(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of a written table of fingerprints (doc_id, fp)."""
+    nodes = rooted(fps, radius)
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return shared.table(nodes.join(ids, "root").select("fp", "component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs, all columns, with one document of each group: the least doc_id; of rows that share it, one."""
+    """docs, all columns, with one document of each group: the least doc_id; of rows that share it, one.
+
+    Groups are told apart by their fingerprints, not by their ids: documents with a
+    null or a repeated id compete only with those that links join to them.
+    """
     rows = shared.keyed(docs)
     fps = shared.table(rows.select("th", F.col("d").alias("doc_id"), F.col("row.text").alias("text")).transform(lambda x: fingerprints_of(x, shingle)))
-    groups = fps.select("doc_id", "fp").transform(lambda x: named(x, radius))
-    placed = fps.join(groups, "fp")
-    first = placed.where("doc_id = component_id").groupBy("component_id").agg(F.min("th").alias("least"), F.count(F.lit(1)).alias("n"))
-    both = placed.join(first, "component_id")
-    gone = shared.table(both.where("doc_id <> component_id or th <> least").select(F.col("doc_id").alias("d"), "th").distinct())
+    roots_of = shared.table(rooted(fps.select("doc_id", "fp"), radius).select("fp", "root"))
+    placed = fps.join(roots_of, "fp").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("first"))
+    both = placed.join(first, "root")
+    gone = shared.table(both.where("doc_id <> first.doc_id or th <> first.th").select(F.col("doc_id").alias("d"), "th"))
     left = shared.without(docs, gone)
-    again = shared.table(first.where("n > 1").select(F.col("component_id").alias("d"), F.col("least").alias("th")))
+    again = shared.table(first.where("first.n > 1").select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("th")))
     # rows that repeat both id and text: rare, and only they are dealt out by a key
     columns = docs.columns
     more = shared.keyed(left).join(shared.small(again), ["d", "th"], "left_semi").dropDuplicates(["d", "th"]).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -85,6 +85,14 @@ def test_representatives(docs, documents):
     assert ids == wanted
 
 
+def test_representatives_without_ids(spark):
+    """Documents that no link joins stay, whatever their ids: null ids, and an id that is the least of two groups."""
+    a, b, c, d = ("alpha beta gamma delta " * 30, "one two three four five " * 30, "red green blue black white grey " * 30, "north east south west " * 30)
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, d), (None, c)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 def test_no_rows(empty):
     assert simhash.groups(empty).count() == 0
     assert simhash.representatives(empty).count() == 0
