@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import shared
@@ -124,11 +124,38 @@ def _emit(size: int, passes: np.ndarray | None):
 _ROWS = "a long, b long, start long, h long, slots array<long>, n_tokens long"
 
 
+def _starts(found: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(found, lambda w: w["start"]))).cast("long")
+
+
+def _literal(found: str) -> Column:
+    """How many windows of an alignment (start, pairs of slots and own) are equal word for word."""
+    return _starts(F.filter(found, lambda w: F.forall(w["pairs"], lambda p: p["slots"] == p["own"])))
+
+
+def _consistent(found: str) -> Column:
+    """How many windows of an alignment hold only pairs of slots that map one to one.
+
+    Of pairs that conflict, the one in most windows holds, and of equals the least.
+    """
+    clash = lambda kept, p: F.exists(kept, lambda q: (q["slots"] == p["slots"]) | (q["own"] == p["own"]))
+    holds = lambda kept, p: F.exists(kept, lambda q: (q["slots"] == -p["slots"]) & (q["own"] == -p["own"]))
+    ranked = lambda every: F.transform(F.array_distinct(every), lambda p: F.struct(F.size(F.filter(every, lambda q: q == p)).alias("n"), (-p["slots"]).alias("slots"), (-p["own"]).alias("own")))
+    # an array of one element binds a value, so that it is found once
+    pairs = F.transform(F.array(F.flatten(F.transform(found, lambda w: w["pairs"]))), ranked)[0]
+    # from the most to the least: a pair holds unless one before it that holds has one of its sides
+    return F.aggregate(
+        F.reverse(F.array_sort(pairs)), F.array().cast("array<struct<n:int,slots:bigint,own:bigint>>"), lambda kept, p: F.when(clash(kept, p), kept).otherwise(F.array_append(kept, p)),
+        lambda kept: _starts(F.filter(found, lambda w: F.forall(w["pairs"], lambda p: holds(kept, p)))),
+    )
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.5, enough: int = 6) -> DataFrame:
     """(doc_id, th, item_id, n_windows): items whose passages documents hold.
 
     An item is found if, at one alignment, the lesser of ``enough`` windows and
-    ``share`` of its windows match and the slots map one to one.
+    ``share`` of its windows match and are equal word for word, or have slots that map
+    one to one; windows with slots that conflict do not count, the others do.
     """
     text = F.coalesce("text", F.lit(""))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("a"), F.xxhash64(text).alias("b"), text.alias("text"))
@@ -144,12 +171,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float
     wanted = item_windows.select("h", F.col("a").alias("item_id"), F.col("b").alias("item_th"), "start", "slots", "n_tokens")
     joined = found.join(wanted, "h").withColumn("shift", F.col("at") - F.col("start"))
     pairs = F.array_distinct(F.filter(F.arrays_zip("slots", "own"), lambda x: x["slots"] != 0))
-    by = joined.groupBy("d", "th", "item_id", "item_th", "shift").agg(
-        F.count_distinct("start").alias("n"), F.max("n_tokens").alias("n_tokens"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
-    )
-    one_to_one = (F.size("slots") == F.size(F.array_distinct("slots.slots"))) & (F.size("slots") == F.size(F.array_distinct("slots.own")))
+    window_pairs = F.collect_set(F.struct("start", pairs.alias("pairs")))
+    by = joined.groupBy("d", "th", "item_id", "item_th", "shift").agg(window_pairs.alias("found"), F.max("n_tokens").alias("n_tokens"))
+    n = F.greatest(_literal("found"), _consistent("found"))
     need = F.least(F.lit(enough), F.ceil((F.col("n_tokens") - window + 1) * share))
-    by = by.where(one_to_one & (F.col("n") >= need))
+    by = by.withColumn("n", n).where(F.col("n") >= need)
     return by.groupBy("d", "th", "item_id").agg(F.max("n").alias("n_windows"))
 
 

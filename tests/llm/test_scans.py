@@ -31,6 +31,18 @@ def test_reparameterised(spark, bench):
     assert all(items[0][0] == 1 for items in got.values())
 
 
+def test_one_changed_slot(spark, bench):
+    """A slot that conflicts takes its own windows away, not those beside it; slots that conflict all along are no match."""
+    own = ITEM.replace("12", "7").replace("3 dollars", "25 euros").replace("Today Anna", "Today Boris").replace("Anna pay", "Clara pay")
+    rows = [(1, f"Intro text {ITEM.replace('Anna pay', 'Clara pay')} end"), (2, f"Intro text {own} end")]
+    names = "When Anna met Anna then Anna saw Anna and Anna heard Anna while Anna told Anna"
+    each = iter("Bea Cleo Dora Emma Fred Gus Hugo Ida".split())
+    items = bench.limit(0).unionByName(spark.createDataFrame([(1, ITEM, "x"), (5, names, "y")], bench.schema))
+    got = found(spark, items, [*rows, (3, " ".join(next(each) if w == "Anna" else w for w in names.split()))])
+    n = len(ITEM.split()) - 7
+    assert got == {1: [(1, n - 2)], 2: [(1, n - 2)]}  # all but the two windows that hold the other name
+
+
 def test_half_of_an_item(spark, bench):
     words = ITEM.split()
     got = found(spark, bench, [(1, " ".join(words[:20])), (2, " ".join(words[:9])), (3, "The committee met on Tuesday to discuss the annual budget for road repairs")])
