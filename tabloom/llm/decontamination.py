@@ -1,7 +1,8 @@
 """Benchmark decontamination: template windows, joined by hash, with a check of slots.
 
 Numbers, names and units become typed placeholders, so that a question with other
-numbers or names has the same template.  Windows of the template are hashed on both
+numbers or names has the same template; a word with a capital that begins a sentence
+is taken both as a word and as a name.  Windows of the template are hashed on both
 sides and joined in Spark; a filter of fixed size, made from the benchmark's windows,
 passes those that can match.  Windows that match at one alignment are put together,
 and what fills the slots must map one to one between item and document.
@@ -32,8 +33,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _CORE = np.zeros(256, bool)  # bytes of letters and digits
 _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
+#: By code point; the last stands for bytes that are no UTF-8.
+_UPPER = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x110000)] + [False])
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;\n")] = True
 FILTER_BITS = 24
@@ -48,8 +49,19 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template token, value or 0 where it is no slot, literal token, first token of each text and the end)."""
+def points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, its number of bytes) of the UTF-8 characters that begin at these places."""
+    lead = data[at].astype(np.int64)
+    size = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
+    point = np.where(size == 1, lead, lead & (0x7F >> size))
+    for k in range(1, 4):
+        more = size > k
+        point = np.where(more, point << 6 | data[np.minimum(at + k, len(data) - 1)] & 0x3F, point)
+    return np.minimum(point, 0x110000), size
+
+
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template token, value or 0 where it is no slot, literal token, first token of each text and the end, word with a capital that begins a sentence and so may be a name or not)."""
     words = Words(data, offsets)
     starts, ends = words.starts.copy(), words.ends.copy()
     for _ in range(4):  # marks at the ends of words; a word of marks keeps one
@@ -60,7 +72,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     h = range_hashes(_LOWER[data], starts, ends - starts)
     n = len(h)
     if not n:
-        return h, h, h, words.bounds
+        return h, h, h, words.bounds, np.zeros(0, bool)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     letters = np.concatenate(([0], np.cumsum(_CORE[data] & ~_DIGIT[data])))
     n_digits, n_letters = digits[ends] - digits[starts], letters[ends] - letters[starts]
@@ -70,8 +82,11 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     begins[words.bounds] = True
     begins = begins[:n]
     after_stop = begins | np.append(True, _STOP[data[words.ends[:-1] - 1]])
-    second = np.where(ends - starts > 1, data[np.minimum(starts + 1, len(data) - 1)], 97)
-    name = _UPPER[data[starts]] & ~_UPPER[second] & (ends - starts > 1) & ~after_stop
+    first, wide = points(data, starts)
+    longer = ends - starts > wide
+    second, _ = points(data, np.where(longer, starts + wide, starts))
+    capital = _UPPER[first] & longer & ~_UPPER[second]
+    name, maybe = capital & ~after_stop, capital & after_stop
     at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
     unit = (_UNIT_HASHES[at] == h) & np.append(False, number[:-1]) & ~begins
     token = h.copy()
@@ -80,31 +95,36 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     token[name] = NAME
     token[unit] = UNIT
     slot = number | mixed | name | unit
-    return token, np.where(slot, h | U64(1), U64(0)), h, words.bounds
+    return token, np.where(slot, h | U64(1), U64(0)), h, words.bounds, maybe & ~slot
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, size: int, passes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text, start, hash, slot values of each window): all windows, or those that a filter passes.
 
-    A text shorter than a window has none.  A window in which over half of the
-    tokens are slots says little, so its values are hashed too.
+    A text shorter than a window has none.  A window with words that begin a sentence
+    with a capital is given twice: with them as words, and as names.  A window with
+    fewer than two tokens that are no slots is no template, so its values are hashed too.
     """
-    token, value, literal, bounds = templates(data, offsets)
+    token, value, literal, bounds, maybe = templates(data, offsets)
     n = len(token)
     docs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    h = window_hashes(prefix_hash(token), size)
-    full = np.flatnonzero(docs[: len(h)] == docs[size - 1 : size - 1 + len(h)])
-    slots = np.concatenate(([0], np.cumsum(value != 0)))
-    many = 2 * (slots[full + size] - slots[full]) > size
-    h = h[full]
-    if many.any():
-        h[many] ^= mix(window_hashes(prefix_hash(literal), size)[full[many]])
-    start = full
-    if passes is not None:
-        at = h >> U64(64 - FILTER_BITS)
-        hit = (passes[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
-        h, start = h[hit], start[hit]
-    values = value[start[:, None] + np.arange(size)] if len(start) else np.zeros((0, size), np.uint64)
+    full = np.flatnonzero(docs[: max(n - size + 1, 0)] == docs[size - 1 :])
+    exact = mix(window_hashes(prefix_hash(literal), size)[full])
+    begins = np.concatenate(([0], np.cumsum(maybe)))
+    twice = begins[full + size] > begins[full]
+    parts = []
+    for tokens, slot_values, chosen in ((token, value, np.ones(len(full), bool)), (np.where(maybe, NAME, token), np.where(maybe, literal | U64(1), value), twice)):
+        start = full[chosen]
+        h = window_hashes(prefix_hash(tokens), size)[start]
+        slots = np.concatenate(([0], np.cumsum(slot_values != 0)))
+        bare = size - (slots[start + size] - slots[start]) < 2
+        h[bare] ^= exact[chosen][bare]
+        if passes is not None:
+            at = h >> U64(64 - FILTER_BITS)
+            hit = (passes[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+            h, start = h[hit], start[hit]
+        parts.append((start, h, slot_values[start[:, None] + np.arange(size)] if len(start) else np.zeros((0, size), np.uint64)))
+    start, h, values = (np.concatenate(x) for x in zip(*parts))
     return docs[start] if n else start, start - (bounds[docs[start]] if n else 0), h, values
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tabloom.llm import decontamination, licenses
@@ -43,6 +44,35 @@ def test_one_changed_slot(spark, bench):
     assert got == {1: [(1, n - 2)], 2: [(1, n - 2)]}  # all but the two windows that hold the other name
 
 
+def test_names_and_numbers_anywhere(spark, bench):
+    """Names at the beginnings of sentences, capitals beyond ASCII, windows of many numbers; a table of other numbers is no match."""
+    items = [
+        (1, "Tom has 5 apples. Ann has 3 apples. How many apples do they have together?"),
+        (2, "On Monday the baker Élodie sold some bread to Ángel and then Élodie paid all that she owed to Ángel"),
+        (3, "Add 12 , 15 , 18 , 21 , 24 and 27 to 31 , 35 , 39 , 43 and 47 then subtract 5 , 6 and 7"),
+        (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"),
+    ]
+    bench = bench.limit(0).unionByName(spark.createDataFrame([(i, t, "") for i, t in items], bench.schema))
+    got = found(spark, bench, [
+        (1, "Bob has 7 apples. Sue has 2 apples. How many apples do they have together?"),
+        (2, "On Monday the baker Örjan sold some bread to Łukasz and then Örjan paid all that she owed to Łukasz"),
+        (3, "Add 13 , 16 , 19 , 22 , 25 and 28 to 32 , 36 , 40 , 44 and 48 then subtract 8 , 9 and 10"),
+        (4, "101 102 103 104 105 106 107 108 109 110 111 112 113 114 115 116 117 118 119 120"),
+        (5, f"x {items[3][1]} y"), (6, items[0][1].lower()), (7, f"we saw {items[0][1]}"),
+        (8, "Tom has 5 pears. Ann took 3 plums. How many of them do they share now?"),
+    ])
+    assert {d: [i for i, _ in x] for d, x in got.items()} == {1: [1], 2: [2], 3: [3], 5: [4], 6: [1], 7: [1]}
+    assert got[1] == [(1, 8)]
+
+
+def test_code_points():
+    text = "Aé€𝄞ßΩ"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.flatnonzero(data & 0xC0 != 0x80)
+    point, size = decontamination.points(data, at)
+    assert point.tolist() == [ord(c) for c in text] and size.tolist() == [len(c.encode()) for c in text]
+
+
 def test_half_of_an_item(spark, bench):
     words = ITEM.split()
     got = found(spark, bench, [(1, " ".join(words[:20])), (2, " ".join(words[:9])), (3, "The committee met on Tuesday to discuss the annual budget for road repairs")])
