@@ -140,6 +140,17 @@ def sort_text_numbers(spark, sf):
     return out.withColumn("place", F.row_number().over(Window.orderBy(numbers.floating(F.col("b")).desc_nulls_last(), "c_custkey")).cast("long"))
 
 
+@query("""
+    select c_custkey, b, row_number() over (order by try_cast(nullif(trim(b), '') as double) desc nulls last, c_custkey) as place
+    from (select c_custkey, case when c_mktsegment = 'MACHINERY' then '  ' else cast(cast(c_acctbal as decimal(18,2)) as varchar) end as b from customer)""")
+def sort_text_numbers_all(spark, sf):
+    """All rows, blanks at the end, each with its place in the sorted table."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "MACHINERY", "  ").otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("b"))
+    # counts of each sorted part give its first place: no one task for all rows
+    places = sorting.sort(rows, "b:desc", order="c_custkey").rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return spark.createDataFrame(places, "c_custkey long, b string, place long")
+
+
 @query("select o_orderkey, md5('42:' || o_orderkey) as draw from orders order by md5('42:' || o_orderkey), o_orderkey limit 100")
 def sample_rows(spark, sf):
     out = sampling.sample(table(spark, sf, "orders").select("o_orderkey"), n=100, seed=42, order="o_orderkey")

@@ -20,6 +20,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_sort_gives_all_rows(spark):
+    """Every customer has a place, the blank ones the last."""
+    rows = sorted(QUERIES["sort_text_numbers_all"](spark, SF).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in rows] == list(range(1, spark.read.parquet(f"{SF}/customer.parquet").count() + 1))
+    blank = [not r["b"].strip() for r in rows]
+    assert any(blank) and blank == sorted(blank)
+
+
 def test_entry(spark):
     import __spark_entry__
 
