@@ -485,6 +485,16 @@ def line_ends(spark, sf):
     return files.line_ends(rows).select(F.col("path").alias("page_id"), "lf", "style")
 
 
+@query("""
+    select page_id, crlf, lf - crlf as lf, cr - crlf as cr,
+        case when (crlf > 0)::int + (lf > crlf)::int + (cr > crlf)::int > 1 then 'mixed' when crlf > 0 then 'crlf' when lf > 0 then 'lf' when cr > 0 then 'cr' else 'none' end as style
+    from (select page_id, length(html) - length(replace(html, chr(10), '')) as lf, length(html) - length(replace(html, chr(13), '')) as cr, (length(html) - length(replace(html, chr(13) || chr(10), ''))) // 2 as crlf from pages)""")
+def line_ends_all(spark, sf):
+    """All pages, with all kinds of line ends."""
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return files.line_ends(rows).select(F.col("path").alias("page_id"), "crlf", "lf", "cr", "style")
+
+
 @query("""
     select date_trunc('hour', ts) as window_start, event_type, count(*) as "count" from events group by 1, 2""")
 def event_windows(spark, sf):

@@ -28,6 +28,16 @@ def test_sort_gives_all_rows(spark):
     assert any(blank) and blank == sorted(blank)
 
 
+def test_line_ends_of_all_pages(spark, tmp_path):
+    pages = [(1, "a\r\nb\r\n"), (2, "a\nb"), (3, "a\rb\r"), (4, "a\r\nb\nc\r\rd"), (5, "none"), (6, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["line_ends_all"](spark, str(tmp_path))
+    assert {r["page_id"]: (r["crlf"], r["lf"], r["cr"], r["style"]) for r in rows.collect()} == {
+        1: (2, 0, 0, "crlf"), 2: (0, 1, 0, "lf"), 3: (0, 0, 2, "cr"), 4: (1, 1, 2, "mixed"), 5: (0, 0, 0, "none"), 6: (0, 0, 0, "none"),
+    }
+    assert difference(rows, str(tmp_path), ORACLE_SQL["line_ends_all"]) == ""
+
+
 def test_entry(spark):
     import __spark_entry__
 
