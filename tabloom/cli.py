@@ -127,9 +127,14 @@ def _join(run: Run) -> int:
 def _diff(run: Run) -> int:
     old, new = run.table(), run.table(run.args.new)
     found, (added, removed) = joins.diff(old, new, run.args.key), joins.column_changes(old, new)
-    report = render.diff_report(found.df, added, removed)
-    print(report or "no differences")
-    return int(bool(report))
+    differs = False
+    for line in render.diff_report(found.df, added, removed):
+        differs = True
+        print(line)
+    if not differs:
+        print("no differences")
+    print(", ".join(f"{name} {found.count(name)}" for name in found.counters))
+    return int(differs)
 
 
 @command("stack", FILES, ("--union", FLAG), ("--source", {}))

@@ -1,10 +1,10 @@
-"""Text and Markdown tables of a few rows, on the driver."""
+"""Text and Markdown tables of a few rows, on the driver; reports of differences."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -63,11 +63,13 @@ def look(df: DataFrame, n: int = 20, columns: str | Sequence[str] | None = None,
     return aligned(*rows_of(df, n, columns), markdown, most)
 
 
-def diff_report(changes: DataFrame, added: Sequence[str] = (), removed: Sequence[str] = (), most: int = 1000) -> str:
-    """The changed rows of :func:`tabloom.operators.joins.diff` as text."""
-    out = [f"columns added: {', '.join(added)}"] * bool(added) + [f"columns removed: {', '.join(removed)}"] * bool(removed)
+def diff_report(changes: DataFrame, added: Sequence[str] = (), removed: Sequence[str] = ()) -> Iterator[str]:
+    """Lines of all changed rows of :func:`tabloom.operators.joins.diff`; a part of the rows at a time comes to the driver."""
+    if added:
+        yield f"columns added: {', '.join(added)}"
+    if removed:
+        yield f"columns removed: {', '.join(removed)}"
     keys = changes.columns[1:-1]
-    for row in changes.where("op <> '='").orderBy("op", *keys).limit(most).collect():
-        out.append(f"{row['op']} {', '.join(row[k] for k in keys)}")
-        out += [f"    {c['column']}: {c['old']!r} -> {c['new']!r}" for c in row["changes"] or []]
-    return "\n".join(out)
+    for row in changes.where("op <> '='").orderBy("op", *[col(k) for k in keys]).toLocalIterator():
+        yield f"{row['op']} {', '.join(row[k] for k in keys)}"
+        yield from (f"    {c['column']}: {c['old']!r} -> {c['new']!r}" for c in row["changes"] or [])

@@ -37,6 +37,18 @@ def test_tables(people, capsys, tmp_path):
     assert run(capsys, "cut", people, "-c", "nope")[0] == 2 and run(capsys, "cut", people + "x", "-c", "id")[0] == 1
 
 
+def test_diff_gives_all_rows(capsys, tmp_path, spark):
+    """More than a thousand changed rows, and the totals."""
+    old, new = tmp_path / "old.csv", tmp_path / "new.csv"
+    old.write_text("id,v\n0,same\ngone,x\n" + "".join(f"{i},a\n" for i in range(1, 1202)))
+    new.write_text("id,v\n0,same\nmore,x\n" + "".join(f"{i},b\n" for i in range(1, 1202)))
+    code, out = run(capsys, "diff", str(old), str(new), "-k", "id")
+    lines = out.splitlines()
+    assert code == 1 and sorted(x for x in lines if x.startswith("~ ")) == sorted(f"~ {i}" for i in range(1, 1202))
+    assert "+ more" in lines and "- gone" in lines and lines[-1] == "added 1, removed 1, changed 1201, unchanged 1"
+    assert run(capsys, "diff", str(old), str(old), "-k", "id") == (0, "no differences\nadded 0, removed 0, changed 0, unchanged 1203\n")
+
+
 def test_commands_are_declared(spark):
     assert len(COMMANDS) == 37
     with pytest.raises(SystemExit):
