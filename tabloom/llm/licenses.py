@@ -30,6 +30,17 @@ RULES: list[tuple[str, list[str]]] = [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     ]),
+    ("GPL-2.0-or-later", [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    ]),
+    ("LGPL-2.1", ["This work is licensed under the GNU Lesser General Public License, version 2.1"]),
+    ("LGPL-2.1-or-later", [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    ]),
+    ("CC-BY-NC-SA-4.0", ["Licensed under CC BY-NC-SA 4.0"]),
+    ("CC-BY-NC-ND-4.0", ["Licensed under CC BY-NC-ND 4.0"]),
     ("LGPL-3.0", ["This work is licensed under the GNU Lesser General Public License, version 3"]),
     ("AGPL-3.0", ["This work is licensed under the GNU Affero General Public License, version 3"]),
     ("CC-BY-4.0", ["Licensed under CC BY 4.0"]),
@@ -54,6 +65,7 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 _WORD = re.compile(r"[a-z0-9]+")
+_ANY = re.compile(r"[A-Za-z0-9]+")
 #: Ends of sentences: marks before white space, empty lines, line ends of headings and list items.
 _END = re.compile(r"(?<=[.!?;:])[\"')\]]*\s+|\n\s*\n|(?<=[.!?;:])\Z")
 _LINE = re.compile(r"\n")
@@ -77,9 +89,16 @@ class Scanner:
         # a text without the longest word of any known sentence holds none of them
         words = {max(s.split(), key=lambda w: (len(w), w)) for s in self.ids}
         self.hint = re.compile("|".join(sorted(words)))
+        # known sentences by their first words, the longest first: a piece may hold them after and before other words
+        self.starts: dict[str, list[tuple[list[str], int]]] = {}
+        for sentence, key in sorted(self.ids.items(), key=lambda x: -len(x[0].split())):
+            parts = sentence.split()
+            if len(parts) < 3:  # a rest such as "2.0" says nothing among other words
+                continue
+            self.starts.setdefault(parts[0], []).append((parts, key))
 
     def sentences(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(sentence number, id, start, end) of the known sentences, whether they end at a mark or with their line."""
+        """(sentence number, id, start, end) of the known sentences: whole pieces, lines, and runs of words within a piece, over line ends too."""
         found = {}
         number = 0
         for start, end, part in _pieces(text):
@@ -87,15 +106,35 @@ class Scanner:
             key = self.ids.get(normalise(part))
             if key is not None:
                 found[start] = (number, key, start, end)
-            elif "\n" in part:
-                at = start
-                for line in part.split("\n"):
-                    key = self.ids.get(normalise(line))
-                    if key is not None:
-                        found[at] = (number, key, at, at + len(line))
-                    at += len(line) + 1
+                continue
+            at = start
+            lines: list[tuple[int, int]] = []
+            for line in part.split("\n") if "\n" in part else []:
+                key = self.ids.get(normalise(line))
+                if key is not None:
+                    found[at] = (number, key, at, at + len(line))
+                    lines.append((at, at + len(line)))
+                at += len(line) + 1
+            if self.hint.search(part.lower()):
+                for key, a, b in self._runs(part):
+                    if not any(x < start + b and start + a < y for x, y in lines):
+                        found[start + a] = (number, key, start + a, start + b)
         return [found[k] for k in sorted(found)]
 
+    def _runs(self, part: str) -> Iterator[tuple[int, int, int]]:
+        """(id, start, end) of known sentences that are runs of words of a piece, from the left, of those that begin at a word the longest."""
+        places = [m.span() for m in _WORD.finditer(part.lower())] if len(part.lower()) == len(part) else [m.span() for m in _ANY.finditer(part)]
+        words = [part[a:b].lower() for a, b in places]
+        i = 0
+        while i < len(words):
+            hit = next(((p, key) for p, key in self.starts.get(words[i], ()) if words[i : i + len(p)] == p), None)
+            if hit is None:
+                i += 1
+                continue
+            last = i + len(hit[0]) - 1
+            yield hit[1], places[i][0], places[last][1]
+            i = last + 1
+
     def scan(self, text: str | None) -> tuple[list[tuple[str, int, int]], int]:
         """(matches as (licence, start, end), number of known sentences); of rules that match the same place, the longest hold."""
         if not text or not self.hint.search(text.lower()):

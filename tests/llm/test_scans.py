@@ -129,5 +129,28 @@ def test_scan_against_plain_search(spark, docs, documents):
         assert bool(brute_scan(t)) == any(got[i])
 
 
+def test_wrapped_and_embedded(spark):
+    """Known sentences over two lines, after or before other words, and further licences."""
+    texts = [
+        (1, "Some title\nThis project is licensed under\nthe MIT License\nand more text on the next line"),
+        (2, "(c) 2020 Foo, Licensed under CC BY 4.0"),
+        (3, "(c) 2020 Foo, Licensed under CC BY-NC-SA 4.0 by the author"),
+        (4, "(c) Foo, Licensed under CC BY-NC 4.0"),
+        (5, "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+        (6, " ".join(s + "." for s in dict(licenses.RULES)["GPL-2.0-or-later"])),
+        (7, "İ (c) Foo, Licensed under CC BY 4.0"),
+        (8, "The text says unlicensed under CC BY 4.05 and that is all"),
+    ]
+    got = {r["doc_id"]: (r["licenses"], r["hits"]) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        1: ["MIT"], 2: ["CC-BY-4.0"], 3: ["CC-BY-NC-SA-4.0"], 4: ["CC-BY-NC-4.0"], 5: ["LGPL-2.1"], 6: ["GPL-2.0-or-later"], 7: ["CC-BY-4.0"], 8: [],
+    }
+    assert [texts[k - 1][1][h["start"] : h["end"]] for k in (2, 7) for h in got[k][1]] == ["Licensed under CC BY 4.0"] * 2
+
+
+def test_short_rests_among_words():
+    assert licenses.Scanner().sentences("We use version 2.0 of the licensed software") == []
+
+
 def test_no_documents(empty):
     assert licenses.scan(empty).count() == 0
