@@ -18,13 +18,15 @@ from tabloom.llm.shared import LAST
 
 #: Letters whose counts, which an edit changes by one at most, rule out pairs early.
 LETTERS = "etnaihors "
+#: A line of nothing else is blank.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line: d, th, pos (from 0), line, h1, h2, size."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.where("trim(line) <> ''")
+    return rows.where(F.ltrim(F.col("line"), F.lit(BLANK)) != "")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -41,18 +43,18 @@ def _places(threshold: int) -> Column:
 
 
 def _probes(lines: DataFrame, threshold: int) -> DataFrame:
-    """(h1, key, probe): the segments of each line, and with probe the substrings that could be a segment of another.
+    """(line, h1, key, probe): the segments of each line, and with probe the substrings that could be a segment of another.
 
     A key holds the segment's number and its line's length.  Lines of one byte a
     character are cut as bytes, without a walk to the place.
     """
     parts = threshold + 1
-    rows = lines.select("line", "size", F.encode("line", "UTF-8").alias("raw"), F.xxhash64("line").alias("h1"), F.explode(_places(threshold)).alias("c"))
+    rows = lines.select("line", "size", F.col("line").cast("binary").alias("raw"), F.xxhash64("line").alias("h1"), F.explode(_places(threshold)).alias("c"))
     size, i = F.col("size") - F.col("c.less"), F.col("c.i")
     rows = rows.select("*", size.alias("s"), (F.expr(f"(size - c.less) * c.i div {parts}").cast("int") + F.col("c.shift")).alias("at"), F.expr(f"(size - c.less) * (c.i + 1) div {parts} - (size - c.less) * c.i div {parts}").cast("int").alias("long"))
     rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size")))
     part = F.when(F.octet_length("line") == F.col("size"), F.xxhash64(F.substring("raw", F.col("at") + 1, F.col("long")))).otherwise(F.xxhash64(F.substring("line", F.col("at") + 1, F.col("long"))))
-    return rows.select("h1", F.xxhash64("c.i", "s", part).alias("key"), ((F.col("c.less") > 0) | (F.col("c.shift") != 0)).alias("probe"))
+    return rows.select("line", "h1", F.xxhash64("c.i", "s", part).alias("key"), ((F.col("c.less") > 0) | (F.col("c.shift") != 0)).alias("probe"))
 
 
 def _signature() -> Column:
@@ -137,11 +139,11 @@ def line_links(docs: DataFrame, threshold: int = 2, shortest: int = 20) -> DataF
     probes = _probes(lines, threshold)
     used = probes.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("probe").alias("probe"))
     keys = shared.table(used.where("low <> high and not probe").select("key"))
-    rows = shared.table(probes.join(shared.small(keys), "key").distinct())
-    ids = shared.table(rows.select("h1").distinct())
-    texts = _hashed(lines).join(shared.small(ids), "h1").select("h1", "h2", "line").distinct()
-    texts = shared.table(texts.select("h1", "line", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]).alias("name"), _signature().alias("sign")))
-    members = shared.table(rows.join(texts.select("h1", "name", "sign"), "h1").select("key", "probe", "name", "sign"))
+    # each task gives a line once for each key, however often it has the line
+    rows = _hashed(probes.join(shared.small(keys), "key").select("line", "key", "probe").distinct())
+    rows = shared.table(rows.select("key", "probe", "line", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]).alias("name"), _signature().alias("sign")))
+    texts = shared.table(rows.groupBy("name", "line").agg(F.first("sign").alias("sign")))
+    members = rows.select("key", "probe", "name", "sign")
 
     centre = members.where("not probe").groupBy("key").agg(F.min(F.struct("name", "sign")).alias("c"))
     near = members.join(centre, "key").where((F.col("name") != F.col("c.name")) & (_apart("sign", "c.sign") <= 2 * threshold))
@@ -159,20 +161,28 @@ def line_links(docs: DataFrame, threshold: int = 2, shortest: int = 20) -> DataF
     return first.unionByName(_verified(pairs, texts, threshold))
 
 
+def repeats(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
+    """(d, th, removed): the numbers of the lines that go, for each document that has one.
+
+    Texts are cut into lines once; after that only hashes and places are read, and of
+    these only those of classes with several lines are sorted for the first of each.
+    """
+    lines = shared.table(_hashed(_lines(docs)).select("d", "th", "pos", "h1", "h2"))
+    stars = shared.components(line_links(docs, threshold, shortest))
+    half = lambda c, k: F.conv(F.substring(c, 1 + 16 * k, 16), 16, -10).cast("long")
+    members = shared.table(stars.select(half("a", 0).alias("h1"), half("a", 1).alias("h2"), half("b", 0).alias("r1"), half("b", 1).alias("r2")))
+    classed = lines.join(shared.small(members), ["h1", "h2"], "left").select("d", "th", "pos", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
+    several = shared.table(classed.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"))
+    places = shared.table(classed.join(shared.small(several), ["c1", "c2"], "left_semi"))
+    least = places.groupBy("c1", "c2").agg(F.min(F.struct("d", "pos", "th")).alias("least"))
+    gone = places.join(least, ["c1", "c2"]).where(F.struct("d", "pos", "th") != F.col("least"))
+    return gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+
+
 def cut(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
     """(row, kept, n_lines, removed): the documents' columns, the kept text, and the removed line numbers."""
-    lines = _hashed(_lines(docs)).select("d", "th", "pos", "h1", "h2")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "pos", "th")).alias("first"), F.count(F.lit(1)).alias("n"))
-    stars = shared.components(line_links(docs, threshold, shortest))
-    members = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))).alias("m")).select("m.*").distinct()
-    members = members.select(F.conv(F.substring("a", 1, 16), 16, -10).cast("long").alias("h1"), F.conv(F.substring("a", 17, 16), 16, -10).cast("long").alias("h2"), F.col("b").alias("root"))
-    linked = first.join(members, ["h1", "h2"])
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("h1", "h2", "least")
-    alone = first.where("n > 1").join(members, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("least"))
-    classes = shared.table(alone.unionByName(linked))
-    gone = lines.join(classes, ["h1", "h2"]).where(F.struct("d", "pos", "th") != F.col("least"))
-    lists = gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    joined = shared.keyed(docs).join(lists.hint("shuffle_hash"), ["d", "th"], "left").select("row", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    lists = repeats(docs, threshold, shortest)
+    joined = shared.keyed(docs).join(lists, ["d", "th"], "left").select("row", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     parts = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.slice("all", F.get("cuts", i) + 2, F.get("cuts", i + 1) - F.get("cuts", i) - 1))
     split = joined.withColumn("all", F.split(F.coalesce("row.text", F.lit("")), "\n"))
     split = split.withColumn("cuts", F.concat(F.array(F.lit(-1)), "removed", F.array(F.size("all"))))
@@ -185,7 +195,8 @@ def line_dedup(docs: DataFrame, threshold: int = 2, shortest: int = 20) -> DataF
 
     Returns doc_id, text (kept lines), n_lines, n_removed and removed (line numbers
     from 0).  First is the least doc_id, then line number.  Lines under ``shortest``
-    characters are the same only if equal; blank lines stay, as does a text's order.
+    characters are the same only if equal, as two edits make another word of most of them;
+    blank lines (white space alone) stay, as does a text's order.
 
     A null text stays null and has one blank line; a null doc_id comes after all ids;
     rows that agree in doc_id and text keep the same lines; very long texts and lines

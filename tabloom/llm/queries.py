@@ -96,15 +96,16 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, s
 from docs left join kept using (doc_id) left join removed using (doc_id)""",
     "op4_line_dedup": r"""
 with recursive docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
-lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from docs),
+lines as (select * from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from docs) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 firsts as (select line, length(line) as n, min(row(doc_id, pos)) as first,
-  [len(string_split(line, c)) for c in ['e', 't', 'n', 'a', 'i', 'h', 'o', 'r', 's', ' ']] as counts from lines where trim(line, ' ') <> '' group by line),
+  [len(string_split(line, c)) for c in ['e', 't', 'n', 'a', 'i', 'h', 'o', 'r', 's', ' ']] as counts from lines group by line),
 pairs as (select a.line as a, b.line as b from (select *, unnest([n - 2, n - 1, n, n + 1, n + 2]) as other from firsts where n >= 20) a join firsts b on b.n = a.other and b.n >= 20
   where a.line <> b.line and list_sum(list_transform(range(1, 11), lambda k: abs(a.counts[k] - b.counts[k]))) <= 4 and levenshtein(a.line, b.line) <= 2),
 reach(line, other) as (select a, b from pairs union select line, b from reach join pairs on other = a),
 roots as (select line, min(first) as root from (select line, first from firsts union all select r.line, f.first from reach r join firsts f on r.other = f.line) group by line),
 gone as (select doc_id, pos from lines join roots using (line) where row(doc_id, pos) <> root),
-kept as (select doc_id, string_agg(line, chr(10) order by pos) as text from lines anti join gone using (doc_id, pos) group by doc_id),
+every as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from docs),
+kept as (select doc_id, string_agg(line, chr(10) order by pos) as text from every anti join gone using (doc_id, pos) group by doc_id),
 removed as (select doc_id, count(*) as n from gone group by doc_id)
 select doc_id, cast(len(l) as bigint) as n_lines, coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from docs left join kept using (doc_id) left join removed using (doc_id)""",
     "op7_warc": r"""
