@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabloom.llm import shared
+
 #: Rules: (licence, sentences in order).  A rule matches where its sentences follow each other with small gaps.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["Released under the MIT License"]),
@@ -188,4 +190,4 @@ def scan(docs: DataFrame, rules: list[tuple[str, list[str]]] = RULES, gap: int =
             names = pa.array([sorted({a for a, _, _ in x}) for x, _ in found], pa.list_(pa.string()))
             yield pa.record_batch([batch.column(0), names, pa.array([n for _, n in found], pa.int64()), hits], ["doc_id", "licenses", "n_sentences", "hits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, licenses array<string>, n_sentences long, hits array<struct<license:string,start:long,end:long>>")
+    return shared.mapped(docs.select("doc_id", "text"), run, "doc_id long, licenses array<string>, n_sentences long, hits array<struct<license:string,start:long,end:long>>")

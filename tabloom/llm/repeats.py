@@ -77,7 +77,7 @@ def units(docs: DataFrame, kind: type, size: int, gram: int) -> DataFrame:
                 doc, start, n, off, key, ctx = units_of(found.values, found.bounds, size, gram)
                 yield pa.record_batch([pa.array(c) for c in (d[at + doc], th[at + doc], start, n, off, key.view(np.int64), ctx.view(np.int64))], [x.split()[0] for x in UNIT.split(", ")])
 
-    return docs.select("d", "th", "text").mapInArrow(run, UNIT)
+    return shared.mapped(docs.select("d", "th", "text"), run, UNIT)
 
 
 def candidates(docs: DataFrame, kind: type, size: int, gram: int) -> DataFrame:
@@ -108,15 +108,32 @@ def hashed_windows(docs: DataFrame, wanted: DataFrame, kind: type, size: int) ->
                 h = [span_hash(prefix_hash(found.values, k), begin, begin + size, k).view(np.int64) for k in (0, 1)]
                 yield pa.record_batch([pa.array(c) for c in (*h, d[at + doc], th[at + doc], begin - found.bounds[doc])], ["h1", "h2", "d", "th", "start"])
 
-    runs = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = docs.select("d", "th", "text").join(runs.hint("shuffle_hash"), ["d", "th"])
-    return joined.mapInArrow(run, "h1 long, h2 long, d long, th long, start long")
+    runs = wanted.groupBy("d", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    joined = docs.select("d", "th", "text").join(runs, ["d", "th"])
+    return shared.mapped(joined, run, "h1 long, h2 long, d long, th long, start long")
+
+
+#: How often a unit is found from which on it is looked up without a shuffle of its rows, where a broadcast allows it.
+CROWD = 256
+
+
+def among(units: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The units whose key and ctx a written table (key, ctx, c) has more than once.
+
+    Those that very many documents share are found first, by a join that shuffles
+    nothing as long as they are few; beyond that, both sides of the join are shuffles
+    that can be split.
+    """
+    crowded = shared.table(contexts.where(F.col("c") > CROWD).select("key", "ctx"))
+    seen = units.join(shared.small(crowded.withColumn("crowd", F.lit(True))), ["key", "ctx"], "left")
+    few = contexts.where((F.col("c") > 1) & (F.col("c") <= CROWD)).select("key", "ctx")
+    return seen.where("crowd").drop("crowd").unionByName(seen.where("crowd is null").drop("crowd").join(few, ["key", "ctx"], "left_semi"))
 
 
 def marked(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """docs with the column runs: the flagged windows (d, th, start, n) of each document as start, n; null if none."""
-    runs = flagged.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return docs.join(runs.hint("shuffle_hash"), ["d", "th"], "left")
+    runs = flagged.groupBy("d", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    return docs.join(runs, ["d", "th"], "left")
 
 
 def coverage(lists: pa.Array, bounds: np.ndarray, size: int) -> np.ndarray:

@@ -6,41 +6,67 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: What was written: the JVM's file system and path, which outlive a stopped session, and the path as text.
+_WRITTEN: list[tuple[object, object, str]] = []
+
+#: Bytes of a batch that goes to Python: the setting, what it is where nobody has set it, and what it becomes then.
+BATCH, UNSET, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; what a task has freed goes back to the system."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH) == UNSET:
+        spark.conf.set(BATCH, BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir; only where that is unset, a local one, as in tests."""
+    """The cluster's shared folder: spark.checkpoint.dir; only where that is unset, a local one, as in tests.
+
+    On a cluster a local folder would hide what executors write, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tabloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        with contextlib.suppress(Exception):
-            remove(spark, path)
+def written() -> int:
+    """How many paths have been given out and not removed."""
+    return len(_WRITTEN)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(since: int = 0, last: int = 0) -> None:
+    """Remove what was written after the first ``since`` paths, but for the ``last`` ones."""
+    to = len(_WRITTEN) - last
+    for fs, at, _ in _WRITTEN[since:to]:
+        with contextlib.suppress(Exception):  # a stopped JVM; the folder is the cluster's to clear then
+            fs.delete(at, True)
+    del _WRITTEN[since:to]
 
 
 def place(spark: SparkSession) -> str:
-    """A new path in the shared folder, removed when the program ends."""
-    if not _WRITTEN:
-        atexit.register(_clean)
+    """A new path in the shared folder, removed when the program ends, or by :func:`remove`."""
     path = f"{folder(spark)}/tabloom-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN.append((at.getFileSystem(spark._jsc.hadoopConfiguration()), at, path))
     return path
 
 
@@ -52,6 +78,8 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+atexit.register(remove)
+
 #: Rows up to which a written side is broadcast, at about 16 bytes a row; beyond it, joins are shuffled.
 SMALL = 1_000_000
 

@@ -1,22 +1,28 @@
 """SimHash near-duplicates: exact pairs of fingerprints by vantage-point trees.
 
-Two fingerprints that differ in at most three of 64 bits agree in one of four
-16-bit blocks, so a first, lossless split puts equal blocks together.  A block
-that holds many fingerprints is split further by Hamming distance from vantage
-points into rings; a fingerprint within the radius of a ring's edge goes to the
-neighbouring shard too.  Within a shard a vantage-point tree answers all queries
-at once: a branch is left out where the triangle bound rules it out.  A shard
-gives the links that span its groups, not all pairs.
+Fingerprints are first dealt by their Hamming distance from vantage points: a tree of
+fixed depth, whose points and medians come from a bounded sample, names the shards, and
+every fingerprint goes to each shard whose bound it meets within the radius, so that
+pairs across a boundary meet.  As most distances between fingerprints are near the
+middle, more levels would copy nearly as much as they divide; so a shard is divided
+further by bits: two fingerprints that differ in at most three bits agree in one of
+four blocks of any division of the bits.  The number of bits follows the number of
+fingerprints, and a shard that is still crowded is divided by its other bits again.
+Within a shard a vantage-point tree answers all queries at once: a branch is left out
+where the triangle bound rules it out.  A shard gives the links that span its groups,
+not all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import shared
@@ -24,9 +30,10 @@ from tabloom.llm.textcore import Words, chunks
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Vantage points of the rings; they need not be fingerprints of documents.
-VANTAGE = (0x0123456789ABCDEF, 0x5A5AC3C3A5A53C3C, 0x77F0E1D2C3B4A596, 0x1F2E3D4C5B6A7988)
-RING = 8
+#: Levels of the vantage-point tree that deals fingerprints, the sample it is made from, and the points tried for a level.
+LEVELS, SAMPLE, TRIED = 2, 4096, 16
+#: Fingerprints of a shard that the number of bits aims at, and those above which a shard is divided again.
+AIM, CROWDED = 1024, 4096
 
 
 def fingerprint(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -77,7 +84,7 @@ def fingerprints_of(rows: DataFrame, shingle: int) -> DataFrame:
                 n = len(offsets) - 1
                 yield pa.record_batch([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(fingerprint(data, offsets, shingle).view(np.int64))], ["th", "doc_id", "fp"])
 
-    return rows.mapInArrow(run, "th long, doc_id long, fp long")
+    return shared.mapped(rows, run, "th long, doc_id long, fp long")
 
 
 def vantage_pairs(index: np.ndarray, query: np.ndarray, radius: int, leaf: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,51 +130,91 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
             label = up
 
 
-def _shard(values: np.ndarray, groups: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def _shard(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of sorted groups of values: (value, least linked value)."""
-    n = len(values)
-    cut = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-    size = np.diff(np.append(cut, n))
-    left = np.repeat(size, size) - (np.arange(n) - np.repeat(cut, size)) - 1  # rows of the group after each
-    left[np.repeat(size, size) > small] = 0
     unique, inverse = np.unique(values, return_inverse=True)
     label = np.arange(len(unique))
-    at, shift = np.flatnonzero(left > 0), 1
-    while len(at):
-        near = at[np.bitwise_count(values[at] ^ values[at + shift]) <= radius]
-        label = roots(len(unique), inverse[near], inverse[near + shift], label)
-        shift += 1
-        at = at[left[at] >= shift]
-    for g in np.flatnonzero(size > small):
-        own = inverse[cut[g] : cut[g] + size[g]]
-        own = np.unique(own)
-        for i, j in vantage_pairs(unique[own], unique[own], radius):
-            label = roots(len(unique), own[i], own[j], label)
+    cut = np.append(np.flatnonzero(np.append(True, groups[1:] != groups[:-1])), len(values))
+    for first, last in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if last - first > 1:
+            own = inverse[first:last]
+            for i, j in vantage_pairs(unique[own], unique[own], radius):
+                label = roots(len(unique), own[i], own[j], label)
     moved = np.flatnonzero(label != np.arange(len(unique)))
     return unique[moved], unique[label[moved]]
 
 
-def links(fps: DataFrame, radius: int = 3, hot: int = 4096) -> DataFrame:
-    """(a, b) links that span the same groups as all pairs of different fingerprints (column fp) within the radius."""
+@dataclass
+class Vantage:
+    """A vantage-point tree of fixed depth: inner values are within ``cut`` of ``point``."""
+
+    point: int
+    cut: int
+    inner: Vantage | None
+    outer: Vantage | None
+
+
+def vantage_tree(sample: np.ndarray, levels: int = LEVELS) -> Vantage | None:
+    """The tree of a sample: of a few of its values the one whose distances spread the most is the point, their median the cut."""
+    if not levels or not len(sample):
+        return None
+    tried = sample[: TRIED]
+    point = tried[int(np.argmax(np.bitwise_count(tried[:, None] ^ sample[None, :]).std(axis=1)))]
+    far = np.bitwise_count(sample ^ point)
+    cut = int(np.median(far))
+    return Vantage(int(point), cut, vantage_tree(sample[far <= cut], levels - 1), vantage_tree(sample[far > cut], levels - 1))
+
+
+def _leaves(tree: Vantage | None, radius: int, met: Column) -> list[Column]:
+    """For each leaf, whether the fingerprint is in it or within the radius of its bounds."""
+    if tree is None:
+        return [met]
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(tree.point - (1 << 64) if tree.point >> 63 else tree.point)))
+    return [*_leaves(tree.inner, radius, met & (far <= tree.cut + radius)), *_leaves(tree.outer, radius, met & (far > tree.cut - radius))]
+
+
+def _without(value: str, at: Column, width: int) -> Column:
+    """A number less the bits from ``at`` on."""
+    shift = lambda name, x, n: F.call_function(name, x, n)
+    high = shift("shiftrightunsigned", shift("shiftrightunsigned", F.col(value), at), F.lit(width))
+    low = F.col(value).bitwiseAND(shift("shiftleft", F.lit(1).cast("long"), at) - 1)
+    return shift("shiftleft", high, at).bitwiseOR(low)
+
+
+def shards(fps: DataFrame, radius: int = 3, aim: int = AIM, crowded: int = CROWDED) -> DataFrame:
+    """(shard, fp) such that any two different fingerprints (column fp) within the radius share a shard."""
     if not 0 <= radius <= 3:
         raise ValueError("the four blocks find pairs of up to 3 differing bits")
-    blocks = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(4)])))
-    blocks = blocks.select("fp", (F.col("pos") * 65536 + F.col("col")).alias("block"))
-    # at most 4 * 65,536 blocks exist at any size of the input, so this side may be broadcast
-    crowded = blocks.groupBy("block").count().where(F.col("count") > hot)
-    crowded = crowded.select("block", F.least(F.ceil(F.log2(F.col("count") / hot)), F.lit(len(VANTAGE))).cast("int").alias("levels"))
-    placed = blocks.join(F.broadcast(crowded), "block", "left").select("fp", "block", F.coalesce("levels", F.lit(0)).alias("levels"), F.lit("").alias("path"))
-    for k, point in enumerate(VANTAGE):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(point).cast("long")))
-        ring, edge = F.floor(d / RING), d % RING
-        rings = F.array_compact(F.array(ring, F.when(edge < radius, ring - 1), F.when(edge >= RING - radius, ring + 1)))
-        placed = placed.withColumn("ring", F.explode(F.when(F.col("levels") > k, rings).otherwise(F.array(F.lit(0).cast("long")))))
-        placed = placed.select("fp", "block", "levels", F.concat_ws("/", "path", "ring").alias("path"))
-    placed = placed.select("fp", F.xxhash64("block", "path").alias("shard"))
+    nodes = shared.table(fps.select("fp").distinct())
+    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    leaves = _leaves(vantage_tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64)), radius, F.lit(True))
+    held = nodes.select("fp", F.explode(F.array_compact(F.array(*[F.when(met, F.lit(i)) for i, met in enumerate(leaves)]))).alias("leaf"))
+    bits = min(16, max(0, math.ceil(math.log2(max(1, nodes.count()) / aim))))
+    k = F.explode(F.array(*map(F.lit, range(4 if bits else 1))))
+    held = held.select("fp", "leaf", k.alias("k")).withColumn("at", F.col("k") * 16)
+    part = F.call_function("shiftrightunsigned", F.col("fp"), F.col("at")).bitwiseAND(F.lit((1 << bits) - 1))
+    held = held.select("fp", F.xxhash64("leaf", "k", part).alias("shard"), _without("fp", F.col("at"), 16).alias("rest"))
+    for width in (12, 9, 6):  # four blocks of the 48, 36 and 27 bits that are left
+        many = shared.table(held.groupBy("shard").count().where(F.col("count") > crowded).select("shard"))
+        if many.isEmpty():
+            break
+        held = shared.table(held.join(shared.small(many.withColumn("many", F.lit(True))), "shard", "left"))
+        split = held.where("many").select("fp", "shard", "rest", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).withColumn("at", F.col("k") * width)
+        part = F.call_function("shiftrightunsigned", F.col("rest"), F.col("at")).bitwiseAND(F.lit((1 << width) - 1))
+        split = split.select("fp", F.xxhash64("shard", "k", part).alias("shard"), _without("rest", F.col("at"), width).alias("rest"))
+        held = held.where("many is null").select("fp", "shard", "rest").unionByName(split)
+    return held.select("shard", "fp")
+
+
+def links(fps: DataFrame, radius: int = 3, aim: int = AIM, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) links that span the same groups as all pairs of different fingerprints (column fp) within the radius.
+
+    A task holds about 200,000 fingerprints, or those of one shard, at 16 bytes each.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        rows = 0
+        rows, limit = 0, 200_000
 
         def solve(part: np.ndarray) -> pa.RecordBatch:
             a, b = _shard(np.ascontiguousarray(part[:, 1]).view(np.uint64), part[:, 0], radius)
@@ -176,18 +223,19 @@ def links(fps: DataFrame, radius: int = 3, hot: int = 4096) -> DataFrame:
         for batch in batches:
             held.append(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
             rows += batch.num_rows
-            if rows >= 200_000:
+            if rows >= limit:
                 part = np.concatenate(held)
                 last = int(np.searchsorted(part[:, 0], part[-1, 0], "left"))
                 if last:
                     yield solve(part[:last])
                 held = [part[last:]]
                 rows = len(part) - last
+                limit = max(200_000, 2 * rows)
         if rows:
             yield solve(np.concatenate(held))
 
-    placed = placed.repartition("shard").sortWithinPartitions("shard")
-    return placed.select("shard", "fp").mapInArrow(search, "a long, b long").distinct()
+    placed = shards(fps, radius, aim, crowded).repartition("shard").sortWithinPartitions("shard")
+    return shared.mapped(placed.select("shard", "fp"), search, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -220,13 +268,16 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """docs, all columns, with one document of each group: the least doc_id; of rows that share it, one.
 
     Groups are told apart by their fingerprints, not by their ids: documents with a
-    null or a repeated id compete only with those that links join to them.
+    null or a repeated id compete only with those that links join to them.  Null and
+    empty texts are one group; very long texts are hashed whole; of rows that repeat id
+    and text one stays; an empty table gives none; the other columns go along.
     """
     rows = shared.keyed(docs)
     fps = shared.table(rows.select("th", F.col("d").alias("doc_id"), F.col("row.text").alias("text")).transform(lambda x: fingerprints_of(x, shingle)))
     roots_of = shared.table(rooted(fps.select("doc_id", "fp"), radius).select("fp", "root"))
-    placed = fps.join(roots_of, "fp").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("first"))
+    # both written, so that a join of a large group can be split
+    placed = shared.table(fps.join(roots_of, "fp").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")))
+    first = shared.table(placed.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("first")))
     both = placed.join(first, "root")
     gone = shared.table(both.where("doc_id <> first.doc_id or th <> first.th").select(F.col("doc_id").alias("d"), "th"))
     left = shared.without(docs, gone)

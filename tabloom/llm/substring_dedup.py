@@ -68,4 +68,4 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 13) -> DataFr
     again = shared.table(windows.groupBy("h1", "h2").agg(F.min("d").alias("m"), F.max("d").alias("most")).where("m < most").select("h1", "h2", "m"))
     single = windows.join(again, ["h1", "h2"]).where("d > m").select("d", "th", "start", F.lit(1).cast("long").alias("n"))
     joined = repeats.marked(source, whole.union(single))
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,end:long>>")
+    return shared.mapped(joined.select("doc_id", "text", "runs"), _cut(window), "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,end:long>>")

@@ -1,5 +1,12 @@
 """Suffix-array dedup: repeated byte strings, by the difference-cover algorithm on shards.
 
+Not one suffix array of the whole corpus: triples are sorted, named and merged within
+a shard, as a sort of every suffix of the corpus in Spark, and again for each level of
+names, would move the text many times over.  Which links come from what is stated here.
+Links between different units come from adjacent suffixes of a shard's array.  Links
+between units that are equal as a whole, and between windows of crowded keys in blocks
+of one place, come from two 64-bit Rabin-Karp hashes.
+
 The text is split among tasks by content: windows that share a key (see
 ``repeats``) are in one shard, so that equal strings always meet.  Each shard's
 suffix array is built by the difference cover modulo 3: the suffixes at sampled
@@ -226,21 +233,21 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, hot: int =
     source = repeats.keyed(docs)
     units = repeats.candidates(source, kind, length, gram)
     contexts = shared.table(units.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "start", "n", "off")).alias("at")))
-    whole = units.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("d", "th", "start", "n")
+    whole = repeats.among(units, contexts.select("key", "ctx", "c")).select("d", "th", "start", "n")
     several = shared.table(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     wanted = contexts.select("key", "ctx", "at.*").join(several, "key").withColumn("hot", F.col("k") > hot)
-    runs = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n", "key", "ctx", "off", "hot")).alias("runs"))
+    runs = wanted.groupBy("d", "th").agg(F.collect_set(F.struct("start", "n", "key", "ctx", "off", "hot")).alias("runs"))
     # documents that agree in id and text have the same units; each is taken once
-    texts = source.select("d", "th", "text").join(runs.hint("shuffle_hash"), ["d", "th"])
-    texts = shared.table(texts.mapInArrow(_units_text(length), f"{PIECE}, hot boolean"))
+    texts = source.select("d", "th", "text").join(runs, ["d", "th"])
+    texts = shared.table(shared.mapped(texts, _units_text(length), f"{PIECE}, hot boolean"))
     flagged = whole.union(_sorted(texts.where("not hot"), length))
     crowded = texts.where("hot").drop("hot").dropDuplicates(["key", "ctx"])
     for block in [b for b in BLOCKS if b < length]:
         if crowded.isEmpty():
             break
-        pieces = shared.table(crowded.mapInArrow(_split(length, block), PIECE))
+        pieces = shared.table(shared.mapped(crowded, _split(length, block), PIECE))
         contexts = shared.table(pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c")))
-        same = pieces.join(contexts.where("c > 1"), ["key", "ctx"], "left_semi")
+        same = repeats.among(pieces, contexts)
         n = F.length("text") - length + 1 if block > 1 else F.lit(1)
         flagged = flagged.union(same.select("d", "th", "start", n.cast("long").alias("n")))
         if block == 1:
@@ -250,10 +257,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 100, hot: int =
         flagged = flagged.union(_sorted(rest.where("not hot"), length))
         crowded = rest.where("hot").drop("hot")
     joined = repeats.marked(source, flagged)
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
+    return shared.mapped(joined.select("doc_id", "text", "runs"), _cut(length), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
 
 
 def _sorted(rows: DataFrame, length: int) -> DataFrame:
     """The repeated windows (d, th, start, n) of units, by suffix arrays of shards."""
     rows = rows.select("key", "d", "th", "start", "text").repartition("key").sortWithinPartitions("key", "d", "th", "start")
-    return rows.mapInArrow(_shards(length), "d long, th long, start long, n long")
+    return shared.mapped(rows, _shards(length), "d long, th long, start long, n long")

@@ -20,7 +20,7 @@ _K = U64(0x9E3779B97F4A7C15)
 BASE = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
 INVERSE = tuple(pow(b, -1, 1 << 64) for b in BASE)
 #: Text bytes that are worked on at a time, unless one document is longer.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -126,7 +126,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if size > 1 << 23:
+        if size > 1 << 21:
             return up[:n], down[:n]
         _POWERS[which] = up, down
     up, down = _POWERS[which]

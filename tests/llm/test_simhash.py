@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from tabloom.llm import simhash
+from tabloom.llm import shared, simhash
 
 
 def brute_fingerprint(text):
@@ -21,6 +21,11 @@ def brute_fingerprint(text):
 
 
 def brute_groups(rows):
+    return Counter((i, f, c) for i, f, c, _ in brute_roots(rows))
+
+
+def brute_roots(rows):
+    """(doc_id, fingerprint, component_id, number of the group) of each row."""
     prints = [(i, brute_fingerprint(t)) for i, t in rows]
     different = sorted({f for _, f in prints})
     a = np.array(different, np.uint64)
@@ -39,7 +44,7 @@ def brute_groups(rows):
         if i is not None:
             r = root(different.index(f))
             least[r] = min(least.get(r, i), i)
-    return Counter((i, f, least.get(root(different.index(f)))) for i, f in prints)
+    return [(i, f, least.get(root(different.index(f))), root(different.index(f))) for i, f in prints]
 
 
 def test_groups(docs, documents):
@@ -69,20 +74,16 @@ def test_dense_links(spark):
         return simhash.roots(len(a), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int), label)
 
     every = [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3) if j > i]
-    for hot in (4096, 40):
-        links = [(index[r["a"] & (1 << 64) - 1], index[r["b"] & (1 << 64) - 1]) for r in simhash.links(df, hot=hot).collect()]
+    for aim, crowded in ((512, 4096), (16, 4096), (64, 40), (4096, 30)):
+        links = [(index[r["a"] & (1 << 64) - 1], index[r["b"] & (1 << 64) - 1]) for r in simhash.links(df, aim=aim, crowded=crowded).collect()]
         assert (components(links) == components(every)).all()
 
 
 def test_representatives(docs, documents):
-    groups = {}
-    for (i, f, c), n in brute_groups(documents).items():
-        groups.setdefault((c, f), set()).add(i)
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    wanted = Counter({c for (c, _) in groups})
-    assert ids == wanted
+    assert ids == Counter(c for c, _ in {(c, g) for _, _, c, g in brute_roots(documents)})
 
 
 def test_representatives_without_ids(spark):
@@ -104,3 +105,20 @@ def test_vantage_pairs():
     b = np.concatenate([a ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)), a])
     found = {(int(i), int(j)) for x, y in simhash.vantage_pairs(a, b, 3, leaf=256) for i, j in zip(x, y)}
     assert found == {(i, int(j)) for i in range(400) for j in np.flatnonzero(np.bitwise_count(b ^ a[i]) <= 3)}
+
+
+def test_tree_answers(spark):
+    """On whole tables shards are large enough for the tree to branch, and bounded; every fingerprint has one."""
+    fps = shared.table(simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    placed = shared.table(simhash.shards(fps))
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert max(sizes) <= simhash.CROWDED
+    assert sum(n for n in sizes if n * n > 1 << 15) > 0.5 * sum(sizes)
+    assert placed.select("fp").distinct().count() == fps.select("fp").distinct().count()
+
+
+def test_vantage_tree():
+    rng = np.random.default_rng(4)
+    tree = simhash.vantage_tree(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    assert tree.inner is not None and tree.outer is not None and tree.inner.inner is None
+    assert simhash.vantage_tree(np.zeros(0, np.uint64)) is None
