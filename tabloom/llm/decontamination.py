@@ -98,17 +98,18 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return token, np.where(slot, h | U64(1), U64(0)), h, words.bounds, maybe & ~slot
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, size: int, passes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(text, start, hash, slot values of each window): all windows, or those that a filter passes.
+def windows(found: tuple[np.ndarray, ...], size: int, passes: np.ndarray | None = None, of: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start, hash, slot values of each window) of :func:`templates`: all windows, or those that a filter passes; of: the texts that are taken.
 
     A text shorter than a window has none.  A window with words that begin a sentence
     with a capital is given twice: with them as words, and as names.  A window with
     fewer than two tokens that are no slots is no template, so its values are hashed too.
     """
-    token, value, literal, bounds, maybe = templates(data, offsets)
+    token, value, literal, bounds, maybe = found
     n = len(token)
     docs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    full = np.flatnonzero(docs[: max(n - size + 1, 0)] == docs[size - 1 :])
+    inside = docs[: max(n - size + 1, 0)] == docs[size - 1 :]
+    full = np.flatnonzero(inside if of is None else inside & of[docs[: len(inside)]])
     exact = mix(window_hashes(prefix_hash(literal), size)[full])
     begins = np.concatenate(([0], np.cumsum(maybe)))
     twice = begins[full + size] > begins[full]
@@ -128,15 +129,24 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int, passes: np.ndarray
     return docs[start] if n else start, start - (bounds[docs[start]] if n else 0), h, values
 
 
-def _emit(size: int, passes: np.ndarray | None):
+#: Items with fewer tokens than this are found only as whole texts.
+WHOLE = 3
+
+
+def _emit(size: int, passes: np.ndarray | None, shorter: list[int]):
+    """Windows of ``size`` tokens, and of the shorter sizes: of an item its whole text, of a document those that the filter passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, data, offsets in chunks(batch.column(2)):
-                doc, start, h, values = windows(data, offsets, size, passes)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * size, pa.int32()), pa.array(values.view(np.int64).ravel()))
-                counts = np.diff(Words(data, offsets).bounds)[doc] if passes is None else np.zeros(len(doc), np.int64)
-                yield pa.record_batch([pa.array(a[at + doc]), pa.array(b[at + doc]), pa.array(start), pa.array(h.view(np.int64)), lists, pa.array(counts)], ["a", "b", "start", "h", "slots", "n_tokens"])
+                found = templates(data, offsets)
+                n_tokens = np.diff(found[3])
+                for n in (*shorter, size):
+                    of = None if n == size or passes is not None and n >= WHOLE else n_tokens == n
+                    doc, start, h, values = windows(found, n, passes, of)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * n, pa.int32()), pa.array(values.view(np.int64).ravel()))
+                    yield pa.record_batch([pa.array(a[at + doc]), pa.array(b[at + doc]), pa.array(start), pa.array(h.view(np.int64)), lists, pa.array(n_tokens[doc])], ["a", "b", "start", "h", "slots", "n_tokens"])
 
     return run
 
@@ -175,11 +185,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float
 
     An item is found if, at one alignment, the lesser of ``enough`` windows and
     ``share`` of its windows match and are equal word for word, or have slots that map
-    one to one; windows with slots that conflict do not count, the others do.
+    one to one; windows with slots that conflict do not count, the others do.  An item
+    of fewer tokens than ``window`` has one window, its whole length; one of fewer than
+    three tokens, which any text may hold by chance, is found as a whole text alone.
     """
     text = F.coalesce("text", F.lit(""))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("a"), F.xxhash64(text).alias("b"), text.alias("text"))
-    item_windows = items.mapInArrow(_emit(window, None), _ROWS)
+    item_windows = shared.table(shared.mapped(items, _emit(window, None, list(range(1, window))), _ROWS))
+    shorter = sorted(r["n_tokens"] for r in item_windows.where(F.col("n_tokens") < window).select("n_tokens").distinct().collect())
     # 2 ** 24 bits at any size of the benchmark: at most 262,144 numbers come to the driver
     bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     filled = item_windows.groupBy(F.shiftrightunsigned(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).collect()
@@ -187,14 +200,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float
     for row in filled:
         passes[row["at"]] = row["bits"] & ((1 << 64) - 1)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("a"), F.xxhash64(text).alias("b"), text.alias("text"))
-    found = source.mapInArrow(_emit(window, passes), _ROWS).select(F.col("a").alias("d"), F.col("b").alias("th"), "h", F.col("start").alias("at"), F.col("slots").alias("own"))
+    found = shared.mapped(source, _emit(window, passes, shorter), _ROWS).select(F.col("a").alias("d"), F.col("b").alias("th"), "h", F.col("start").alias("at"), F.col("slots").alias("own"))
     wanted = item_windows.select("h", F.col("a").alias("item_id"), F.col("b").alias("item_th"), "start", "slots", "n_tokens")
     joined = found.join(wanted, "h").withColumn("shift", F.col("at") - F.col("start"))
     pairs = F.array_distinct(F.filter(F.arrays_zip("slots", "own"), lambda x: x["slots"] != 0))
     window_pairs = F.collect_set(F.struct("start", pairs.alias("pairs")))
     by = joined.groupBy("d", "th", "item_id", "item_th", "shift").agg(window_pairs.alias("found"), F.max("n_tokens").alias("n_tokens"))
     n = F.greatest(_literal("found"), _consistent("found"))
-    need = F.least(F.lit(enough), F.ceil((F.col("n_tokens") - window + 1) * share))
+    need = F.least(F.lit(enough), F.ceil(F.greatest(F.col("n_tokens") - window + 1, F.lit(1)) * share))
     by = by.withColumn("n", n).where(F.col("n") >= need)
     return by.groupBy("d", "th", "item_id").agg(F.max("n").alias("n_windows"))
 
@@ -202,8 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.5, enough: int = 6) -> DataFrame:
     """doc_id, th (a hash of the text) and items of each contaminated document: (item_id, n_windows), by item_id.
 
-    An item needs ``window`` tokens at least to be found.  Null and empty texts hold
-    nothing; a null doc_id is given as null; a null item_id is not looked for;
+    Null and empty texts hold nothing and are no items; a null doc_id is given as null; a null item_id is not looked for;
     repeated rows of a document are one row, those of an item count once; very long
     texts are read whole; empty tables give no rows; other columns are not read.
     """

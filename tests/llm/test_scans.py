@@ -12,7 +12,7 @@ ITEM = "Today Anna buys 12 apples for 3 dollars each at the small market near th
 
 @pytest.fixture(scope="module")
 def bench(spark):
-    rows = [(1, ITEM, "x"), (2, "a short item", "y"), (None, ITEM, "z"), (3, None, "w"), (4, "The committee met on Tuesday to discuss the annual budget for road repairs in the northern district of the county", "v")]
+    rows = [(1, ITEM, "x"), (2, "a short item of the list", "y"), (None, ITEM, "z"), (3, None, "w"), (4, "The committee met on Tuesday to discuss the annual budget for road repairs in the northern district of the county", "v")]
     return spark.createDataFrame(rows, "item_id long, text string, d string")
 
 
@@ -28,7 +28,7 @@ def test_reparameterised(spark, bench):
         (10, f"Some words before. {ITEM} Some words behind."), (11, f"Intro text {other} end"), (12, f"Intro text {mixed} end"),
         (13, "Nothing of the kind is said in this text, which has more than eight words."), (14, None), (15, ""), (None, ITEM), (16, "w " * 50_000 + ITEM + " w" * 1000),
     ])
-    assert set(got) == {10, 11, None, 16}  # in 12 one name stands for two
+    assert set(got) == {10, 11, 12, None, 16}  # in 12 one name stands for two, and the windows without it are found
     assert all(items[0][0] == 1 for items in got.values())
 
 
@@ -65,6 +65,88 @@ def test_names_and_numbers_anywhere(spark, bench):
     assert got[1] == [(1, 8)]
 
 
+def test_short_items(spark, bench):
+    """Items under eight tokens are found by their whole length; those under three as whole texts."""
+    items = bench.limit(0).unionByName(spark.createDataFrame([(1, "What is the capital of France?", ""), (2, "Why not", ""), (3, "What is 3 times 4 ?", ""), (4, "", "")], bench.schema))
+    got = found(spark, items, [
+        (1, "He asked: What is the capital of France? Nobody knew."), (2, "Tell me, what is the capital of Spain?"), (3, "Why not"), (4, "why not say so"),
+        (5, "and what is 7 times 9 ? we asked"), (6, "What is the size of France?"), (7, ""), (8, None),
+    ])
+    assert {d: [i for i, _ in x] for d, x in got.items()} == {1: [1], 2: [1], 3: [2], 5: [3]}
+
+
+def brute_items(texts, items, window=8, share=0.5, enough=6):
+    """(doc_id, item_id) pairs by comparing every window of every item at every place of every text."""
+
+    def tokens(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        token, value, literal, _, maybe = decontamination.templates(data, np.array([0, len(data)]))
+        return [(int(t), int(v), int(x), bool(m)) for t, v, x, m in zip(token, value, literal, maybe)]
+
+    def forms(part):
+        """The window with words that begin sentences as words, and as names."""
+        out = [[(t, v) for t, v, _, _ in part]]
+        if any(m for *_, m in part):
+            out.append([(int(decontamination.NAME), x | 1) if m else (t, v) for t, v, x, m in part])
+        return out
+
+    def fits(a, b):
+        """The pairs of slots for which the windows are the same template, for each form of both."""
+        for x in forms(a):
+            for y in forms(b):
+                if [t for t, _ in x] == [t for t, _ in y] and (sum(not v for _, v in x) >= min(2, len(x) + 1) or [w[2] for w in a] == [w[2] for w in b]):
+                    yield frozenset((v, w) for (_, v), (_, w) in zip(x, y) if v)
+
+    def best(found):
+        """Windows by place: the most that are literal, or hold pairs one to one, the most frequent first."""
+        literal = len({s for s, p in found if all(v == w for v, w in p)})
+        times = {}
+        for _, p in found:
+            for pair in p:
+                times[pair] = times.get(pair, 0) + 1
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        held = []
+        for v, w in sorted(times, key=lambda x: (-times[x], signed(x[0]), signed(x[1]))):
+            if all(v != a and w != b for a, b in held):
+                held.append((v, w))
+        return max(literal, len({s for s, p in found if p <= set(held)}))
+
+    docs = [(i, tokens(t)) for i, t in texts]
+    places = {}
+    for d, (_, ts) in enumerate(docs):
+        for k in range(len(ts)):
+            places.setdefault(ts[k][2], []).append((d, k))
+    out = set()
+    for item, text in items:
+        own = tokens(text)
+        size = min(window, len(own))
+        total = len(own) - size + 1
+        for d, (i, ts) in enumerate(docs):
+            if not own or len(ts) < size or not {t for _, _, t, _ in own} & {t for _, _, t, _ in ts}:
+                continue
+            by = {}
+            for s in range(total):
+                for k in range(len(ts) - size + 1):
+                    if any(v == 0 and not m and t != ts[k + n][0] for n, (t, v, _, m) in enumerate(own[s : s + size])):
+                        continue
+                    for p in fits(own[s : s + size], ts[k : k + size]):
+                        by.setdefault(k - s, set()).add((s, p))
+            need = min(enough, -(-total * share // 1))
+            if any(best(found) >= need for found in by.values()) and (len(own) >= 3 or len(ts) == len(own)):
+                out.add((i, item))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r["doc_id"], x["item_id"]) for r in decontamination.decontaminate(docs, items).collect() for x in r["items"]}
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    some = [t for t in texts if len(t[1] or "") < 3000]
+    want = brute_items(some, [(r["item_id"], r["text"]) for r in items.collect()])
+    assert {x for x in got if x[0] in {i for i, _ in some}} == want and want
+
+
 def test_code_points():
     text = "Aé€𝄞ßΩ"
     data = np.frombuffer(text.encode(), np.uint8)
