@@ -6,7 +6,8 @@ converter reads both versions of the format and synthesises what WARC asks for:
 record identifiers, timestamps, types and digests.
 
 Archives are written by Spark's text sink, a record to a row, into the shared folder,
-so that a task that is lost is run again and only committed files are read.
+so that a task that is lost is run again and only committed files are read.  They are
+read back as a stream.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,21 +149,41 @@ def to_warc(record: Record, name: str = "", refers_to: str | None = None, extra:
 
 def warc_records(data: bytes) -> Iterator[Record]:
     """The records of a WARC file, by declared lengths; digests of blocks are checked."""
-    at = 0
-    while at < len(data):
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ArchiveError(f"no record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")
+    return streamed_records(iter([data]), b"")
+
+
+def streamed_records(parts: Iterator[bytes], between: bytes = END) -> Iterator[Record]:
+    """The records of archives that come in parts with ``between`` left out after each; one record is held at a time."""
+    held = bytearray()
+
+    def more() -> bool:
+        part = next(parts, None)
+        if part is not None:
+            held.extend(part)
+            held.extend(between)
+        return part is not None
+
+    while True:
+        while not (lead := len(held) - len(held.lstrip(b"\r\n"))) < len(held):
+            held.clear()
+            if not more():
+                return
+        del held[:lead]
+        while (end := held.find(END)) < 0 and more():
+            pass
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ArchiveError(f"no record at byte 0 of {bytes(held[:80])!r}")
+        lines = held[:end].decode().split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines[1:])
-        length = int(fields["Content-Length"])
-        block = data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        if len(block) < length or data[at : at + 4] != END:
+        to = end + 4 + int(fields["Content-Length"])
+        while len(held) < to + 4 and more():
+            pass
+        if held[to : to + 4] != END:
             raise ArchiveError(f"the record {fields.get('WARC-Record-ID')} is cut off")
+        block = bytes(held[end + 4 : to])
         if fields.get("WARC-Block-Digest") not in (None, sha1(block)):
             raise ArchiveError(f"the record {fields.get('WARC-Record-ID')} has another digest")
-        at += 4
+        del held[: to + 4]
         yield Record(fields, block, lines[0].removeprefix("WARC/"))
 
 
@@ -170,51 +191,66 @@ def _name(page: int | None) -> str:
     return "" if page is None else str(page)
 
 
+#: Records and bytes of payload of a legacy file that is made and converted at once.
+AT_ONCE, AT_MOST = 64, 4_000_000
+
+
+def _runs(sizes: list[int]) -> Iterator[range]:
+    """Rows in a row that are converted at once."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first == AT_ONCE or total + size > AT_MOST):
+            yield range(first, i)
+            first, total = i, 0
+        total += size
+    if sizes:
+        yield range(first, len(sizes))
+
+
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page as a legacy record, converted."""
     for batch in batches:
-        ids, urls, texts, leaders, leader_urls = (c.to_pylist() for c in batch.columns)
-        for at in range(0, len(ids), 64):
-            part = slice(at, at + 64)
-            blocks = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(t) + t for t in ((x or "").encode() for x in texts[part])]
-            legacy = arc_file([(u or "", "20240101000000", "text/html", b) for u, b in zip(urls[part], blocks)], version=1 + at // 64 % 2)
+        ids, urls, leaders, leader_urls = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+        texts = batch.column(2).cast(pa.binary())
+        sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+        for version, run in enumerate(_runs(sizes)):
+            blocks = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(t) + t for t in (texts[i].as_py() or b"" for i in run)]
+            legacy = arc_file([(urls[i] or "", "20240101000000", "text/html", b) for i, b in zip(run, blocks)], version=1 + version % 2)
             out = []
-            for record, page, leader, url in zip(arc_records(legacy), ids[part], leaders[part], leader_urls[part], strict=True):
+            for record, i in zip(arc_records(legacy), run, strict=True):
+                page, leader = ids[i], leaders[i]
                 extra = {} if page is None else {"X-Source-Id": str(page)}
                 to = None
                 if leader is not None:
                     extra["X-Refers-To-Source-Id"] = str(leader)
-                    target = next(arc_records(_arc_line(V1, url or "", "20240101000000", "text/html", record.block, "") + record.block))
+                    target = next(arc_records(_arc_line(V1, leader_urls[i] or "", "20240101000000", "text/html", record.block, "") + record.block))
                     to = record_id(target, _name(leader))
-                out.append(to_warc(record, _name(page), to, extra).decode())
-            yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+                out.append(to_warc(record, _name(page), to, extra))
+            yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["source_id", "record_id", "url", "date", "record_type", "refers_to", "refers_to_source_id", "payload_digest", "payload_bytes", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for content in batch.column(0).to_pylist():
-            data = zlib.decompress(content, wbits=47) if content[:2] == b"\x1f\x8b" else content
+    rows, volume = [], 0
+    for r in streamed_records(x.as_py() for batch in batches for x in batch.column(0)):
+        f = r.fields
+        payload = http_payload(r.block)
+        digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        size = len(payload)
+        if f["WARC-Type"] == "revisit":
+            head = dict(x.split(": ", 1) for x in r.block.decode().split("\r\n")[1:] if ": " in x)
+            size, payload = int(head.get("Content-Length", 0)), None
+        elif hashlib.sha1(payload).hexdigest() != digest:
+            raise ArchiveError(f"the payload of {f['WARC-Record-ID']} has another digest")
+        number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
+        rows.append((number("X-Source-Id"), f["WARC-Record-ID"], f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Type"], f.get("WARC-Refers-To"), number("X-Refers-To-Source-Id"), digest, size, payload))
+        volume += len(r.block)
+        if volume > AT_MOST or len(rows) == 4096:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             rows, volume = [], 0
-            for r in warc_records(data):
-                f = r.fields
-                payload = http_payload(r.block)
-                digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                size = len(payload)
-                if f["WARC-Type"] == "revisit":
-                    head = dict(x.split(": ", 1) for x in r.block.decode().split("\r\n")[1:] if ": " in x)
-                    size, payload = int(head.get("Content-Length", 0)), None
-                elif hashlib.sha1(payload).hexdigest() != digest:
-                    raise ArchiveError(f"the payload of {f['WARC-Record-ID']} has another digest")
-                number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
-                rows.append((number("X-Source-Id"), f["WARC-Record-ID"], f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Type"], f.get("WARC-Refers-To"), number("X-Refers-To-Source-Id"), digest, size, payload))
-                volume += len(r.block)
-                if volume > 4_000_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows, volume = [], 0
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    if rows:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 PARSED = "source_id long, record_id string, url string, date string, record_type string, refers_to string, refers_to_source_id long, payload_digest string, payload_bytes long, payload binary"
@@ -239,13 +275,19 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, per_file: int
     joined = source.join(leaders, "same", "left")
     other = ~F.col("page_id").eqNullSafe(F.col("leader"))
     rows = joined.select("page_id", "url", "html", F.when(other, F.col("leader")).alias("leader"), F.when(other, F.col("leader_url")).alias("leader_url"))
-    records = rows.mapInArrow(_convert, "value string")
+    records = shared.mapped(rows, _convert, "value string")
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The records of all archives under path, with checked digests; a revisit has no payload of its own."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_parse, PARSED)
+    """The records of all archives under path, with checked digests; a revisit has no payload of its own.
+
+    Spark's text source inflates the archives as a stream and cuts them at the bytes that
+    end a record; what it cuts within a payload is put together again by declared
+    lengths, so that a task holds a record and a batch, whatever an archive's size.
+    """
+    parts = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.gz").text(path)
+    return shared.mapped(parts.select(F.col("value").cast("binary").alias("value")), _parse, PARSED)
 
 
 def archived(pages: DataFrame) -> DataFrame:
