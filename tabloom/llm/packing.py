@@ -8,8 +8,8 @@ near-equal partition is left.  If its largest window exceeds the capacity, the
 number of windows rises by one and the block is dealt again.
 
 The work is one pass over each input partition without a shuffle: a block holds a
-bounded number of tokens, so memory does not grow with the input, and a task that
-is run again makes the same sequences.
+bounded number of tokens and of pieces, so memory does not grow with the input, and a
+task that is run again makes the same sequences.  Short pieces in a row are dealt as one.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tabloom.llm import shared
 from tabloom.llm.textcore import Words, chunks, ranges
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -135,7 +136,18 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def packer(path: str, length: int, piece: int, block: int, end_id: int):
+def grouped(sizes: list[int], most: int) -> list[range]:
+    """Runs of pieces in a row with at most ``most`` ids together, or one piece."""
+    out, first, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > most:
+            out.append(range(first, i))
+            first, total = i, 0
+        total += size
+    return [*out, range(first, len(sizes))] if sizes else out
+
+
+def packer(path: str, length: int, piece: int, block: int, end_id: int, pieces: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         context = TaskContext.get()
@@ -146,9 +158,11 @@ def packer(path: str, length: int, piece: int, block: int, end_id: int):
         def deal() -> list[tuple]:
             nonlocal sequence, waiting, held
             rows = []
-            for items in windows_of([len(x[2]) for x in waiting], length) if waiting else []:
+            sizes = [len(x[2]) for x in waiting]
+            groups = grouped(sizes, piece)
+            for items in windows_of([sum(sizes[g.start : g.stop]) for g in groups], length) if waiting else []:
                 offset = 0
-                for i in items:
+                for i in (i for g in items for i in groups[g]):
                     doc, start, ids, total = waiting[i]
                     rows.append((doc, start, len(ids), total, sequence, offset, ids.tobytes()))
                     offset += len(ids)
@@ -171,7 +185,7 @@ def packer(path: str, length: int, piece: int, block: int, end_id: int):
                     for start in range(whole, len(own), piece):
                         waiting.append((doc, start, own[start : start + piece], len(own)))
                     held += len(own) - whole
-                    if held >= block:
+                    if held >= block or len(waiting) >= pieces:
                         rows += deal()
                 if rows:
                     yield _batch(rows)
@@ -196,7 +210,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), names)], [n for n, _ in names])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, piece: int = 256, windows: int = 128, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, piece: int = 256, windows: int = 128, end_id: int = 1, pieces: int = 1 << 16) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``length`` ids.
 
     Returns a row per piece: doc_id, start (the document's ids before it), length,
@@ -208,6 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, piece: int =
     own; an empty table gives no rows; other columns are not read.
 
     ``piece`` is the longest piece of a remainder, ``windows`` the windows of a
-    block that are balanced together.
+    block that are balanced together, and ``pieces`` the pieces that end a block of
+    very short texts early: 32 sequences of one id each piece, so little is padded.
     """
-    return docs.select("doc_id", "text").mapInArrow(packer(tokenizer_path, length, piece, windows * length, end_id), SCHEMA)
+    return shared.mapped(docs.select("doc_id", "text"), packer(tokenizer_path, length, piece, windows * length, end_id, pieces), SCHEMA)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm import shared
 from tabloom.llm.textcore import U64, Words, chunks, mix, range_hashes
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,6 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     Features are chosen among those in at least 0.5 % of the positives, and two of them,
     if their shares among positives and unlabelled texts are ``beyond`` standard errors
     apart; the ``vocabulary`` that are farthest apart are kept.
+
+    Null and empty texts are texts without words; very long ones are read whole; rows
+    without an id or a label of 0 or 1 are not learned from; of rows that repeat an id
+    one label, the larger, holds; with an empty table, or no positive, the model has no
+    words; other columns are not read.
     """
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
@@ -143,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(n + 1)), pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(at, n), batch.column(2).slice(at, n), lists], ["doc_id", "positive", "words"])
 
-    found = rows.mapInArrow(words, "doc_id long, positive int, words array<long>")
+    found = shared.mapped(rows, words, "doc_id long, positive int, words array<long>")
     counts = found.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     sizes = {r["positive"]: r["count"] for r in found.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
@@ -168,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
                 x[d[hit], where[hit]] = True
                 yield pa.record_batch([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["doc_id", "positive", "bits"])
 
-    table = rows.mapInArrow(bits, "doc_id long, positive int, bits binary").toPandas().sort_values(["doc_id", "bits"])
+    table = shared.mapped(rows, bits, "doc_id long, positive int, bits binary").toPandas().sort_values(["doc_id", "bits"])
     x = np.unpackbits(np.frombuffer(b"".join(table["bits"]), np.uint8).reshape(len(table), -1), axis=1)[:, : len(picked)]
     is_p = table["positive"].to_numpy() == 1
     # the unlabelled set stands for all texts: positives of the sample are part of it at the prior's share
@@ -189,19 +195,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at, data, offsets in chunks(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(at, len(offsets) - 1), pa.array(model.score(data, offsets))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return shared.mapped(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that score under the threshold."""
+    """The documents, with all their columns, that score under the threshold.
+
+    Null, empty and very long texts are scored as :func:`score` does; repeated rows
+    stay or go together; an empty table gives none.
+    """
     columns = docs.columns
-    inner = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    at_text = columns.index("text")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in chunks(batch.column(0)):
+            for at, data, offsets in chunks(batch.column(0).field(at_text)):
                 keep = pa.array(model.score(data, offsets) < threshold)
-                yield pa.record_batch([batch.column(1).slice(at, len(offsets) - 1).filter(keep)], ["row"])
+                yield pa.record_batch([batch.column(0).slice(at, len(offsets) - 1).filter(keep)], ["row"])
 
-    kept = inner.mapInArrow(run, inner.select("row").schema)
+    kept = shared.mapped(inner, run, inner.select("row").schema)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
