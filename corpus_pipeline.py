@@ -55,5 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        before = shared.written()
         docs = shared.table(stage(spark, docs, sf_dir))
+        shared.remove(before, last=1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
