@@ -174,8 +174,9 @@ def repeats(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
     classed = lines.join(shared.small(members), ["h1", "h2"], "left").select("d", "th", "pos", F.coalesce("r1", "h1").alias("c1"), F.coalesce("r2", "h2").alias("c2"))
     several = shared.table(classed.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"))
     places = shared.table(classed.join(shared.small(several), ["c1", "c2"], "left_semi"))
-    least = places.groupBy("c1", "c2").agg(F.min(F.struct("d", "pos", "th")).alias("least"))
-    gone = places.join(least, ["c1", "c2"]).where(F.struct("d", "pos", "th") != F.col("least"))
+    # written, so that the join of a class that very many lines are in can be split
+    least = shared.table(places.groupBy("c1", "c2").agg(F.min(F.struct("d", "pos", "th")).alias("least")))
+    gone = places.join(shared.small(least), ["c1", "c2"]).where(F.struct("d", "pos", "th") != F.col("least"))
     return gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 

@@ -80,8 +80,8 @@ def table(df: DataFrame) -> DataFrame:
 
 atexit.register(remove)
 
-#: Rows up to which a written side is broadcast, at about 16 bytes a row; beyond it, joins are shuffled.
-SMALL = 1_000_000
+#: Rows up to which a written side is broadcast, at 16 to 48 bytes a row; beyond it, joins are shuffled.
+SMALL = 400_000
 
 
 def small(df: DataFrame) -> DataFrame:
