@@ -315,7 +315,7 @@ def _json(run: Run) -> int:
     return int(any(r["error"] is not None for r in found) or changed)
 
 
-@command("fixed-width", FILE, ("--widths", {}), ("--names", {}), ("--gap", {"type": int, "default": 2}), ("--skip", {"type": int, "default": 0}))
+@command("fixed-width", FILE, ("--widths", {}), ("--names", {}), ("--gap", {"type": int, "default": 1}), ("--skip", {"type": int, "default": 0}))
 def _fixed_width(run: Run) -> int:
     a = run.args
     return run.write(delimited.fixed_width(lines.lines_of(run.texts([a.file])), widths=a.widths, header=a.names.split(",") if a.names else None, gap=a.gap, skip=a.skip))

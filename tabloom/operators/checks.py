@@ -13,7 +13,8 @@ from tabloom.plans.names import col
 from tabloom.plans.ordered import order_of
 
 INT = r"\A[+-]?[0-9]+\z"
-EMAIL = r"(?U)\A[^@\s]+@[^@\s.]+(\.[^@\s.]+)+\z"
+#: One @ with something before it, and behind it a last dot with something on both sides.
+EMAIL = r"(?U)\A[^@\s]+@[^@\s]+[.][^@\s.]+\z"
 DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 

@@ -157,12 +157,9 @@ def byte_size(text: str) -> int:
 
 
 def human_size(n: int) -> str:
-    """Bytes as the largest binary unit that leaves one or more of it."""
-    value, units = float(n), ["B", "KB", "MB", "GB", "TB"]
-    while value >= 1024 and len(units) > 1:
-        value /= 1024
-        units.pop(0)
-    return f"{n} B" if units[0] == "B" else f"{value:.1f} {units[0]}"
+    """Bytes as ``512B``, ``1.5K``, ``2.0M`` or ``3.1G``: the largest binary unit of which there is one or more."""
+    power = min(3, max(0, (int(n).bit_length() - 1) // 10))
+    return f"{n / 1024**power:.1f}{'BKMG'[power]}" if power else f"{n}B"
 
 
 DELIMITERS = {"tab": "\t", "\\t": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}

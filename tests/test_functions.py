@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import dates, numbers, text
 from tabloom.functions import json as js
 from tabloom.plans import names, render, specs
-from tabloom.sources.delimited import sniffed
+from tabloom.sources.delimited import SourceProblem, sniffed
 
 
 def each(spark, cases, **columns):
@@ -144,12 +144,12 @@ def test_specs():
     assert specs.aggregate("a:b:Sum") == specs.Aggregate("sum", "a:b") and specs.aggregate("a:sum").label == "a_sum"
     assert specs.sort_key("a:desc", ["a"]) == ("a", True) and specs.sort_key("a:desc", ["a:desc"]) == ("a:desc", False)
     assert specs.mask("a:email") == ("a", "email") and specs.mask("a") == ("a", "hash")
-    assert specs.byte_size("1.5K") == 1536 and specs.human_size(1536) == "1.5 KB"
+    assert specs.byte_size("1.5K") == 1536 and specs.human_size(1536) == "1.5K" and specs.human_size(1023) == "1023B" and specs.human_size(5 << 40) == "5120.0G"
     assert specs.edges("1,2.5")[0] == [Decimal(1), Decimal("2.5")]
     for bad in ("1", "2,1", "1,x"):
         with pytest.raises(specs.SpecProblem):
             specs.edges(bad)
-    assert sniffed("a;b\n1;2\n3;4\n") == ";" and sniffed("a\tb\n1\t2") == "\t" and sniffed("x") == "," and sniffed('"a,b";c\n"d,e";f') == ";"
+    assert sniffed("a;b\n1;2\n3;4\n") == ";" and sniffed("a\tb\n1\t2") == "\t" and sniffed('"a,b";c\n"d,e";f') == ";"
 
 
 def test_names():
@@ -174,3 +174,15 @@ def test_json_text():
             js.load(bad, strict_keys=True)
     assert js.load('{"a":1,"a":2}') == {"a": 2}
     assert js.walk({"a": [{"b": 5}]}, ["a", "0", "b"]) == 5
+
+
+def test_unclear_delimiter():
+    for sample in ("", "x", "one\ntwo\nthree", "a,b\nc\nd\ne"):
+        with pytest.raises(SourceProblem):
+            sniffed(sample)
+
+
+def test_json_hint():
+    with pytest.raises(ValueError, match="try the path rows"):
+        js.records({"n": 1, "rows": [{"a": 1}], "more": []})
+    assert js.records({"n": 1}) == [{"n": 1}]
