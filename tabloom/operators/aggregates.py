@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabloom.functions import numbers, text
 from tabloom.plans import names, specs
 from tabloom.plans.names import col
+from tabloom.plans.ordered import ORDINAL
 from tabloom.plans.result import Refused
 
 BLANK = "(blank)"
@@ -22,9 +23,13 @@ def _decimal(df: DataFrame, column: str, scale: int) -> Column:
     return numbers.exact(col(column), scale)
 
 
-def not_numbers(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """(order columns, column, value) of cells that are neither blank nor a number."""
-    found = [F.when(~text.is_blank(col(c)) & numbers.exact(col(c)).isNull(), F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))) for c in columns]
+def not_numbers(df: DataFrame, columns: Sequence[str], order: Sequence[str] = (), scale: int | None = None) -> DataFrame:
+    """(order columns, column, value, number) of cells that are neither blank nor a number; with a scale also numbers that it does not hold exactly."""
+    found = []
+    for c in columns:
+        number = numbers.floating(col(c)).isNotNull()
+        bad = ~number if scale is None else ~number | numbers.exact(col(c), scale).isNull() | (numbers.written_scale(col(c)) > scale)
+        found.append(F.when(~text.is_blank(col(c)) & bad, F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"), number.alias("number"))))
     return df.select(*[col(c) for c in order], F.explode(F.array_compact(F.array(*found))).alias("__x")).select(*[col(c) for c in order], "__x.*")
 
 
@@ -32,7 +37,7 @@ def group(df: DataFrame, keys: str | Sequence[str], aggregates: Sequence[str] =
     """Rows by trimmed keys, a blank key shown as (blank); count, and sum, mean, median, min, max, distinct of columns.
 
     Numbers are exact decimals of up to ``scale`` decimals; blanks are skipped, and a
-    group without numbers has null.  The mean is rounded half up to ``precision``.
+    group without numbers has null; a number in text that ``scale`` would round is an error.  The mean is rounded half up to ``precision``.
     Distinct counts different trimmed cells.  Text that is no number is an error; to
     find it takes a job unless ``check`` is off, when it is skipped.  Sorted by the
     keys: numbers, then folded text, then (blank).
@@ -43,8 +48,12 @@ def group(df: DataFrame, keys: str | Sequence[str], aggregates: Sequence[str] =
     names.no_repeats([*chosen, *[a.label for a in parsed]])
     numeric = list(dict.fromkeys(a.column for a in parsed if a.column and a.func != "distinct"))
     ask = [c for c in numeric if not isinstance(df.schema[c].dataType, T.NumericType)]
-    if check and ask and (bad := not_numbers(df, ask).first()) is not None:
-        raise Refused(f"{bad['column']}: {bad['value']!r} is not a number")
+    place = [c for c in ("_line", ORDINAL) if c in df.columns][:1]
+    if check and ask:
+        found = not_numbers(df, ask, place, scale)
+        if (bad := (found.orderBy(*place) if place else found).first()) is not None:
+            where = f"line {bad['_line']}: " if place == ["_line"] else ""
+            raise Refused(f"{where}{bad['value']!r} in column {bad['column']!r} {'has too many digits' if bad['number'] else 'is not a number'}")
     shown = [F.coalesce(text.filled(col(k)), F.lit(BLANK)).alias(f"__k{i}") for i, k in enumerate(chosen)]
     value = {c: f"__v{i}" for i, c in enumerate(numeric)}
     count = {c: f"__d{i}" for i, c in enumerate(dict.fromkeys(a.column for a in parsed if a.func == "distinct"))}

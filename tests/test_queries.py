@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import difference
 
+import tabloom.source_queries  # noqa: F401  (registers its queries)
 from tabloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
