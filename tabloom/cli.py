@@ -133,7 +133,7 @@ def _diff(run: Run) -> int:
         print(line)
     if not differs:
         print("no differences")
-    print(", ".join(f"{name} {found.count(name)}" for name in found.counters))
+    print(", ".join(f"{name} {n}" for name, n in found.tally.first().asDict().items()))
     return int(differs)
 
 

@@ -73,7 +73,8 @@ def diff(old: DataFrame, new: DataFrame, keys: str | Sequence[str], check: bool
 
     Columns: op, the keys (trimmed), and changes: (column, old, new) of each changed
     cell, in the old table's column order.  Only columns of both tables are compared,
-    trimmed.  Counters: added, removed, changed, unchanged.  With ``check`` a repeated
+    trimmed.  Counters: added, removed, changed, unchanged; the tally
+    has all of them as one row, which costs one job.  With ``check`` a repeated
     key is an error; it needs a job for each table.
     """
     keys = names.listed(keys)
@@ -91,8 +92,9 @@ def diff(old: DataFrame, new: DataFrame, keys: str | Sequence[str], check: bool
     changed = F.array_compact(F.array(*[F.when(F.col(f"__a{i}") != F.col(f"__b{i}"), F.struct(F.lit(c).alias("column"), F.col(f"__a{i}").alias("old"), F.col(f"__b{i}").alias("new"))) for i, c in enumerate(both)])) if both else F.array().cast(f"array<{kind}>")
     op = F.when(F.col("__a").isNull(), "+").when(F.col("__b").isNull(), "-").when(F.size("changes") > 0, "~").otherwise("=")
     out = joined.withColumn("changes", changed).select(op.alias("op"), *[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "changes")
-    counters = {name: out.agg(F.count_if(F.col("op") == sign).alias("n")) for name, sign in (("added", "+"), ("removed", "-"), ("changed", "~"), ("unchanged", "="))}
-    return Result(out, counters=counters)
+    tally = out.agg(*[F.count_if(F.col("op") == sign).alias(name) for name, sign in (("added", "+"), ("removed", "-"), ("changed", "~"), ("unchanged", "="))])
+    counters = {name: tally.select(name) for name in tally.columns}
+    return Result(out, counters=counters, tally=tally)
 
 
 def column_changes(old: DataFrame, new: DataFrame) -> tuple[list[str], list[str]]:

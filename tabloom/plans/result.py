@@ -14,11 +14,12 @@ class Refused(ValueError):
 
 @dataclass
 class Result:
-    """A table, the problems found on the way (line or order columns, column, message), and counters that are queries of their own."""
+    """A table, the problems found on the way (line or order columns, column, message), counters that are queries of their own, and where there is one a row of all of them."""
 
     df: DataFrame
     problems: DataFrame | None = None
     counters: dict[str, DataFrame] = field(default_factory=dict)
+    tally: DataFrame | None = None
 
     def count(self, name: str) -> int:
         return int(self.counters[name].first()[0] or 0)

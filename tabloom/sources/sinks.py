@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import itertools
 import os
 from collections.abc import Iterable, Sequence
 from pathlib import Path
@@ -92,10 +93,17 @@ def split_by_value(df: DataFrame, folder: str, stem: str, column: str, force: bo
 
 
 def _split(parts: DataFrame, folder: str, names: dict, columns: Sequence[str], force: bool) -> list[str]:
-    targets = {v: str(Path(folder, n)) for v, n in names.items()}
-    for t in targets.values():
-        guarded(t, (), force)
+    """One pass: rows come sorted by their part, and the file changes with it."""
+    targets = {v: guarded(str(Path(folder, n)), (), force) for v, n in names.items()}
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for v, t in targets.items():
-        one_csv(parts.where(F.col("__part") == v).select(*[col(c) for c in columns]), t, force=True)
-    return list(targets.values())
+    own = [c for c in columns if not c.startswith("_")]
+    order = [ORDINAL] if ORDINAL in columns else []
+    rows = parts.orderBy("__part", *order).select(*[text.cell(col(c)) for c in own], "__part").toLocalIterator(prefetchPartitions=True)
+    for value, part in itertools.groupby(rows, lambda r: r["__part"]):
+        between = targets[value].with_name(targets[value].name + ".tmp")
+        with between.open("w", encoding="utf-8", newline="") as file:
+            out = csv.writer(file, lineterminator="\n")
+            out.writerow(own)
+            out.writerows(r[:-1] for r in part)
+        between.replace(targets[value])
+    return [str(t) for t in targets.values()]
