@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,5 +80,18 @@ def test_windows(sizes):
     assert max(sums) - min(sums) <= max(sizes)
 
 
+def test_many_empty_texts():
+    """300,000 empty texts in one partition: blocks are bounded by their pieces too, and little is padded."""
+    pack = packing.packer(PATH, 2048, 256, 128 * 2048, 1, 1 << 16)
+    rows = list(pack(iter([pa.record_batch([pa.array(range(10_000)), pa.nulls(10_000, pa.string())], ["doc_id", "text"])] * 30)))
+    assert sum(b.num_rows for b in rows) == 300_000 and max(b.num_rows for b in rows) <= (1 << 16) + 10_000
+    assert len({s for b in rows for s in b.column(4).to_pylist()}) <= 1.05 * 300_000 / 2048
+
+
+def test_groups_of_pieces():
+    assert packing.grouped([100, 100, 100, 256, 1, 1], 256) == [range(0, 2), range(2, 3), range(3, 4), range(4, 6)]
+    assert packing.grouped([], 256) == []
+
+
 def test_no_rows(empty):
     assert packing.pack(empty, PATH).count() == 0

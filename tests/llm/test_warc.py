@@ -45,6 +45,19 @@ def test_edges(spark):
             assert bytes(r["payload"]) == (html or "").encode()
 
 
+def test_large_pages(spark):
+    """Pages of a megabyte, whose payloads hold what ends a record, even at their own ends."""
+    rows = [(i, f"http://a/{i}", (f"page {i} " + "x\r\n\r\ny\r\r\n" * 90_000) + "\r\n" * (i % 4)) for i in range(24)]
+    found = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert {r["source_id"]: bytes(r["payload"]).decode() for r in found} == {i: h for i, _, h in rows}
+    assert {r["record_type"] for r in found} == {"response"}
+
+
+def test_runs():
+    assert list(warc._runs([1] * 130)) == [range(0, 64), range(64, 128), range(128, 130)]
+    assert list(warc._runs([warc.AT_MOST, warc.AT_MOST, 1])) == [range(0, 1), range(1, 2), range(2, 3)] and list(warc._runs([])) == []
+
+
 def test_no_rows(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
