@@ -81,22 +81,33 @@ def group(df: DataFrame, keys: str | Sequence[str], aggregates: Sequence[str] =
     return out.select(*[F.col(k).alias(c) for k, c in zip(inner, chosen)], *[F.col(f"__a{i}").alias(a.label) for i, a in enumerate(parsed)])
 
 
+#: Accuracy of the percentiles around a median, the share of a group aimed at between them, and the ranges that the values there are counted in.
+NEAR, AROUND, RANGES = 10_000, 0.001, 4_096
+
+
 def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str, scale: int) -> DataFrame:
     """(keys, name): the exact median of each group, the mean of the middle two if their number is even.
 
-    Approximate percentiles around the middle bound it; only values between them, about
-    a fiftieth of a large group, are brought together, and the rest are counted.
+    Values are counted in ranges: thousands between approximate percentiles around the
+    middle, one below and one above.  Only the values of the one or two ranges that hold
+    the middle are brought together, in a large group a few millionths of its different
+    values; and the counts, not the percentiles, say which ranges these are.
     """
     full = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    near = F.percentile_approx(F.col("__v").cast("double"), F.array(F.lit(0.49), F.lit(0.51)), F.lit(10000))
+    near = F.percentile_approx(F.col("__v").cast("double"), F.array(F.lit(0.5 - AROUND / 2), F.lit(0.5 + AROUND / 2)), F.lit(NEAR))
     bounds = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), near.alias("__p"))
-    placed = full.join(bounds, keys).withColumn("__x", F.col("__v").cast("double"))
-    below = placed.where(F.col("__x") < F.col("__p")[0]).groupBy(*keys).agg(F.count(F.lit(1)).alias("__below"))
-    inside = placed.where((F.col("__x") >= F.col("__p")[0]) & (F.col("__x") <= F.col("__p")[1])).groupBy(*keys, "__v", "__n").agg(F.count(F.lit(1)).alias("__c"))
-    inside = inside.join(below, keys, "left").withColumn("__to", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v")) + F.coalesce("__below", F.lit(0)))
+    x, first, last = F.col("__v").cast("double"), F.col("__p")[0], F.col("__p")[1]
+    inside = F.when(last > first, F.least(F.floor((x - first) / (last - first) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    placed = full.join(bounds, keys).withColumn("__range", F.when(x < first, -1).when(x > last, RANGES).otherwise(inside).cast("int"))
     low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    ranges = placed.groupBy(*keys, "__range", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    ranges = ranges.withColumn("__end", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__range")))
+    middle = ranges.where((F.col("__end") >= low) & (F.col("__end") - F.col("__c") < high)).select(*keys, "__range", (F.col("__end") - F.col("__c")).alias("__below"))
+    held = placed.join(middle, [*keys, "__range"]).groupBy(*keys, "__range", "__v", "__n", "__below").agg(F.count(F.lit(1)).alias("__c"))
+    held = held.withColumn("__to", F.sum("__c").over(Window.partitionBy(*keys, "__range").orderBy("__v")) + F.col("__below"))
     at = lambda place: F.min(F.when(F.col("__to") >= place, F.col("__v")))
-    return inside.groupBy(*keys).agg(((at(low) + at(high)).cast(f"decimal(38,{scale})") / F.lit(2).cast("decimal(1,0)")).cast(f"decimal(38,{scale + 1})").alias(name))
+    # of 37 digits, as a quotient of 38 keeps no digit more than they have
+    return held.groupBy(*keys).agg(((at(low) + at(high)).cast(f"decimal(37,{scale})") / F.lit(2).cast("decimal(1,0)")).cast(f"decimal(38,{scale + 1})").alias(name))
 
 
 def key_order(key: Column, exact_case: bool = True) -> list[Column]:

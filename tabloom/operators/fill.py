@@ -29,19 +29,14 @@ def fill(df: DataFrame, columns: str | Sequence[str] | None = None, within: str
         out = df.select(*[F.when(blank[c], F.lit(value)).otherwise(text.cell(col(c))).alias(c) if c in blank else col(c) for c in df.columns])
         return Result(out, counters={"filled": df.agg(F.coalesce(F.sum(sum(b.cast("int") for b in blank.values())), F.lit(0)).alias("n"))})
     order = ordered.order_of(df, order)
-    rows, run = ordered.bucketed(df, order), None
     source = lambda c: F.when(~text.is_blank(col(c)), text.cell(col(c)))
-    if within is not None:
-        rows = ordered.carried(rows, order, source(within), None, "__within", up)
-        rows = ordered.runs(rows, order, text.strip(F.coalesce("__within", F.lit(""))), "__run")
-        run = F.col("__run")
-    made = {}
-    for i, c in enumerate(chosen):
-        if c == within:
-            made[c] = F.coalesce("__within", text.cell(col(c)))
-            continue
-        rows = ordered.carried(rows, order, source(c), run, f"__f{i}", up)
-        made[c] = F.coalesce(F.col(f"__f{i}"), text.cell(col(c)))
+    value_of = {f"__f{i}": source(c) for i, c in enumerate(chosen) if c != within}
+    rows = ordered.bucketed(df, order)
+    if within is None:
+        rows = ordered.carried(rows, order, value_of, up)
+    else:
+        rows = ordered.carried_within(rows, order, source(within), text.strip, value_of, up)
+    made = {c: F.coalesce(F.col(ordered.WITHIN if c == within else f"__f{i}"), text.cell(col(c))) for i, c in enumerate(chosen)}
     got = F.lit(0)
     for c, m in made.items():
         got = got + (text.is_blank(col(c)) & ~text.is_blank(m)).cast("int")

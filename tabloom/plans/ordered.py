@@ -1,23 +1,25 @@
 """Row order on an unordered engine: ordinals, running values and row numbers without one task for all rows.
 
-Rows are dealt into buckets that follow the order; each bucket is worked on by itself,
-and what it needs from those before it (a count, the last filled value) is a row per
-bucket.  The number of buckets is bounded, whatever the size of the input.
+Rows are dealt into buckets that follow the order; each bucket is sorted once and worked
+on by itself, and what it needs from those before it (a count, the last filled values)
+is a row per bucket.  The number of buckets follows the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.plans.names import col
 
 ORDINAL = "_ord"
-BUCKET = "__bucket"
-#: Buckets at most, and rows sampled for each to find where it begins.
-BUCKETS, SAMPLED = 64, 64
+BUCKET, WITHIN = "__bucket", "__within"
+#: Rows that a bucket aims at, buckets at most (beyond 80 million rows they grow, and their sorts spill), rows sampled for each to find where it begins.
+ROWS, BUCKETS, SAMPLED = 20_000, 4_096, 64
 
 
 def ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
@@ -38,70 +40,104 @@ def order_of(df: DataFrame, order: str | Sequence[str] | None) -> list[str]:
 def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with the number of the bucket that each row's place in the order falls in.
 
-    The bounds come from a bounded sample, the rows with the least hashes, which takes a
-    job; rows of equal order share a bucket, so the order should be total.  A table that
-    has buckets keeps them, through the functions below too.
+    A job counts the rows and, if they fill more than one bucket, another samples at most
+    about a quarter of a million places for the bounds.  A place is found by two short
+    looks, among groups of bounds and in one of them.  Rows of equal order share a
+    bucket, so the order should be total.  A table that has buckets keeps them, through
+    the functions below too.
     """
     if BUCKET in df.columns:
         return df
+    rows = df.count()
+    buckets = min(BUCKETS, math.ceil(rows / ROWS))
+    if buckets <= 1:
+        return df.withColumn(BUCKET, F.lit(0))
     key = F.struct(*[col(c) for c in order])
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BUCKETS * SAMPLED).orderBy("k").collect()
-    bounds = [sample[i]["k"] for i in range(SAMPLED, len(sample), SAMPLED)]
-    kinds = df.select(key.alias("k")).schema["k"].dataType
+    places = df.select(key.alias("k"))
+    sample = places.sample(min(1.0, buckets * SAMPLED / rows), seed=42).orderBy("k").collect()
+    step = max(1, len(sample) // buckets)
+    bounds = list(dict.fromkeys(r["k"] for r in sample[step::step]))
     if not bounds:
         return df.withColumn(BUCKET, F.lit(0))
-    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds)]) for b in dict.fromkeys(bounds)]
-    return df.withColumn(BUCKET, F.size(F.filter(F.array(*lits), lambda b: b <= key)))
+    wide = math.isqrt(len(bounds) - 1) + 1
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in places.schema["k"].dataType])
+    schema = T.StructType([T.StructField("b", T.ArrayType(T.ArrayType(kind)))])
+    held = df.sparkSession.createDataFrame([([bounds[i : i + wide] for i in range(0, len(bounds), wide)],)], schema).scalar()
+    out = df.withColumn("__bounds", held)
+    out = out.withColumn(BUCKET, F.size(F.filter("__bounds", lambda b: F.get(b, F.lit(0)) <= key)))
+    inside = F.size(F.filter(F.get("__bounds", F.col(BUCKET) - 1), lambda b: b <= key))
+    return out.withColumn(BUCKET, F.when(F.col(BUCKET) == 0, 0).otherwise((F.col(BUCKET) - 1) * wide + inside)).drop("__bounds")
 
 
 def _without_buckets(out: DataFrame, df: DataFrame) -> DataFrame:
     return out if BUCKET in df.columns else out.drop(BUCKET)
 
 
+def _ways(order: Sequence[str], backwards: bool) -> tuple:
+    """The window of a bucket's rows, that of the buckets, and the aggregate of the value at a bucket's end and at its beginning; with ``backwards`` the other way round."""
+    inner = Window.partitionBy(BUCKET).orderBy(*[col(c).desc() if backwards else col(c).asc() for c in order])
+    outer = Window.orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET))  # a row for each bucket
+    return inner, outer, *((F.min_by, F.max_by) if backwards else (F.max_by, F.min_by))
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """df with the row's number in the order, from 0."""
     dealt = bucketed(df, order)
+    inner, outer, _, _ = _ways(order, False)
     counts = dealt.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    # a row for each of at most BUCKETS buckets
-    before = counts.select(BUCKET, F.coalesce(F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(BUCKET).orderBy(*[col(c) for c in order])
+    before = counts.select(BUCKET, F.coalesce(F.sum("__n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rows = dealt.withColumn(name, F.row_number().over(inner)).join(F.broadcast(before), BUCKET)
     return _without_buckets(rows.withColumn(name, col(name) + F.col("__before") - 1).drop("__before"), df)
 
 
-def carried(df: DataFrame, order: Sequence[str], value: Column, run: Column | None, name: str, backwards: bool = False) -> DataFrame:
-    """df with the last value that is not null at or before each row, of the same run (a number) if there are runs; of the next with ``backwards``."""
-    ways = [col(c).desc() if backwards else col(c).asc() for c in order]
-    seen = F.when(value.isNotNull(), F.struct(value.alias("v"), (F.lit(0) if run is None else run).alias("r")))
-    inner = Window.partitionBy(BUCKET).orderBy(*ways).rowsBetween(Window.unboundedPreceding, 0)
-    rows = bucketed(df, order).withColumn("__seen", seen)
+def carried(df: DataFrame, order: Sequence[str], values: Mapping[str, Column], backwards: bool = False) -> DataFrame:
+    """df with, for each name, the last value that is not null at or before each row; at or after it with ``backwards``.
+
+    One pass for the buckets' ends and one sort, whatever the number of names.
+    """
+    inner, outer, at_end, _ = _ways(order, backwards)
     place = F.struct(*[col(c) for c in order])
-    pick = F.min_by if backwards else F.max_by
-    ends = rows.where(F.col("__seen").isNotNull()).groupBy(BUCKET).agg(pick("__seen", place).alias("__end"))
-    buckets = rows.select(BUCKET).distinct().join(ends, BUCKET, "left")
-    outer = Window.orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each of at most BUCKETS buckets
-    before = buckets.select(BUCKET, F.last("__end", True).over(outer).alias("__before"))
-    rows = rows.withColumn("__last", F.last("__seen", True).over(inner))
-    rows = rows.join(F.broadcast(before), BUCKET)
-    found = F.coalesce(F.col("__last"), F.col("__before"))
-    same = F.lit(True) if run is None else found["r"] == run
-    return _without_buckets(rows.withColumn(name, F.when(same, found["v"])).drop("__seen", "__last", "__before"), df)
-
-
-def runs(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """df with a number for each run of consecutive rows of equal value."""
-    rows = bucketed(df, order).withColumn("__value", value)
+    rows = bucketed(df, order).withColumns(dict(values))
+    ends = rows.groupBy(BUCKET).agg(*[at_end(col(n), F.when(col(n).isNotNull(), place)).alias(n) for n in values])
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(BUCKET, *[F.last(col(n), True).over(earlier).alias(f"{n}__before") for n in values])
+    rows = rows.withColumns({n: F.last(col(n), True).over(inner.rowsBetween(Window.unboundedPreceding, 0)) for n in values})
+    out = rows.join(F.broadcast(before), BUCKET).withColumns({n: F.coalesce(col(n), col(f"{n}__before")) for n in values})
+    return _without_buckets(out.drop(*[f"{n}__before" for n in values]), df)
+
+
+def carried_within(df: DataFrame, order: Sequence[str], within: Column, same: Callable[[Column], Column], values: Mapping[str, Column], backwards: bool = False) -> DataFrame:
+    """As :func:`carried`, but a value goes no further than the rows in a row that are alike; and WITHIN, ``within`` carried itself.
+
+    ``same`` gives, from WITHIN, what rows that are alike agree in (null where WITHIN is).
+    A bucket's runs are numbered from 1; its rows before the first filled ``within`` are
+    run 0, which goes on from the bucket before, as run 1 does if it is alike.  Two
+    sorts: one for the buckets' ends, one for the rows.
+    """
+    inner, outer, at_end, at_start = _ways(order, backwards)
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     place = F.struct(*[col(c) for c in order])
-    ends = rows.groupBy(BUCKET).agg(F.max_by("__value", place).alias("__end"))
-    # a row for each of at most BUCKETS buckets
-    before = ends.select(BUCKET, F.lag("__end").over(Window.orderBy(BUCKET)).alias("__before"), (F.row_number().over(Window.orderBy(BUCKET)) > 1).alias("__has"))
-    inner = Window.partitionBy(BUCKET).orderBy(*[col(c) for c in order])
-    rows = rows.join(F.broadcast(before), BUCKET)
-    first = F.row_number().over(inner) == 1
-    last = F.when(first, F.col("__before")).otherwise(F.lag("__value").over(inner))
-    rows = rows.withColumn("__changed", (~F.col("__value").eqNullSafe(last) | (first & ~F.col("__has"))).cast("long"))
-    sums = rows.groupBy(BUCKET).agg(F.sum("__changed").alias("__n"))
-    offsets = sums.select(BUCKET, F.coalesce(F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    rows = rows.withColumn(name, F.sum("__changed").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(offsets), BUCKET)
-    return _without_buckets(rows.withColumn(name, col(name) + F.col("__off")).drop("__value", "__before", "__has", "__changed", "__off"), df)
+    rows = bucketed(df, order).withColumns({WITHIN: within, **values})
+    rows = rows.withColumn(WITHIN, F.last(WITHIN, True).over(so_far)).withColumn("__same", same(F.col(WITHIN)))
+    changed = F.col("__same").isNotNull() & ~F.col("__same").eqNullSafe(F.lag("__same").over(inner))
+    rows = rows.withColumn("__new", changed.cast("long")).withColumn("__run", F.sum("__new").over(so_far))
+    rows = rows.withColumns({n: F.last(F.when(col(n).isNotNull(), F.struct(col(n).alias("v"), F.col("__run").alias("r"))), True).over(so_far) for n in values})
+
+    state = F.struct(WITHIN, "__same", "__run", *[col(n) for n in values])
+    ends = rows.groupBy(BUCKET).agg(at_end(state, place).alias("e"), at_start("__same", F.when(F.col("__same").isNotNull(), place)).alias("__first"))
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"__w": F.last(f"e.{WITHIN}", True).over(earlier), "__s": F.last("e.__same", True).over(earlier)})
+    ends = ends.withColumn("__joins", F.coalesce(F.col("__first") == F.col("__s"), F.lit(False)))  # run 1 goes on
+    open_ = (F.col("e.__run") == 0) | (F.col("e.__run") == 1) & F.col("__joins")  # the bucket's last run began before it
+    ends = ends.withColumn("__open", open_)
+    ends = ends.withColumns({n: F.when(F.col("__open") | (F.col("e")[n]["r"] == F.col("e.__run")), F.col("e")[n]["v"]) for n in values})
+    ends = ends.withColumn("__part", F.sum((~F.col("__open")).cast("long")).over(outer.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy("__part").orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumns({n: F.last(col(n), True).over(part) for n in values})
+    before = ends.select(BUCKET, "__w", "__joins", *[F.lag(col(n)).over(outer).alias(f"{n}__before") for n in values])
+
+    out = rows.join(F.broadcast(before), BUCKET)
+    goes_on = (F.col("__run") == 0) | (F.col("__run") == 1) & F.col("__joins")
+    found = {n: F.when(goes_on, F.coalesce(col(n)["v"], col(f"{n}__before"))).when(col(n)["r"] == F.col("__run"), col(n)["v"]) for n in values}
+    out = out.withColumns({**found, WITHIN: F.coalesce(F.col(WITHIN), F.col("__w"))})
+    return _without_buckets(out.drop("__same", "__new", "__run", "__w", "__joins", *[f"{n}__before" for n in values]), df)

@@ -81,3 +81,20 @@ def test_streams(spark, tmp_path):
     want = streaming.windowed_counts(source, "ts", ["event_type"])
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, want.collect()))
     assert spark.table("u").count() == source.count()
+
+
+def test_tables_are_split_unless_cells_hold_line_ends(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    rows = [(str(i), f'a "quoted" cell, {i}') for i in range(3000)]
+    for path, extra in ((plain, []), (broken, [("x", "two\nlines")])):
+        with path.open("w", newline="") as file:
+            csv.writer(file, lineterminator="\n").writerows([("id", "note"), *rows, *extra])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        found = delimited.read_table(spark, str(plain))
+        assert found.rdd.getNumPartitions() > 4 and sorted(map(tuple, found.collect())) == sorted(rows)
+        found = delimited.read_table(spark, str(broken))
+        assert sorted(map(tuple, found.collect())) == sorted([*rows, ("x", "two\nlines")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

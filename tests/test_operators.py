@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.operators import aggregates, cells, checks, chunks, dedup, files, fill, filters, joins, lines, projection, records, reshape, sampling, sorting
@@ -57,6 +58,53 @@ def test_order_over_buckets(spark):
     assert [tuple(r) for r in parts] == [(i, 700 if i < 9 else 400) for i in range(1, 10)]
 
 
+def filled(rows, within, up):
+    """Rows (v, g, w) filled by hand: v and w within g, which is filled itself, or each alone."""
+    out, last, group, state = [], {}, "", None
+    for v, g, w in reversed(rows) if up else rows:
+        group = g if g.strip() else group
+        if within and group.strip() != state:
+            last, state = {}, group.strip()
+        for name, cell in (("v", v), ("w", w)) if within else (("v", v), ("g", g), ("w", w)):
+            if cell.strip():
+                last[name] = cell
+        out.append((last.get("v", v), (group if group.strip() else g) if within else last.get("g", g), last.get("w", w)))
+    return out[::-1] if up else out
+
+
+@pytest.mark.parametrize("up", [False, True])
+@pytest.mark.parametrize("within", [None, "g"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fills_against_brute_force(spark, monkeypatch, within, up, seed):
+    """Runs that end in a bucket, that go on over several, and buckets without a filled cell."""
+    monkeypatch.setattr(ordered, "ROWS", 20)
+    import random
+
+    rng = random.Random(seed)
+    rows, group = [], ""
+    while len(rows) < 700:
+        group = rng.choice(["a", "b", " b", "c", "", " "])
+        for _ in range(rng.choice([1, 2, 5, 30, 90])):
+            rows.append((rng.choice(["x", "y", "z"]) if rng.random() < 0.1 else "", group if rng.random() < 0.2 else rng.choice(["", " "]), rng.choice(["1", " 2"]) if rng.random() < 0.02 else " "))
+    df = frame(spark, "v g w", rows, 5)
+    assert len(ordered.bucketed(df, ["_ord"]).select(ordered.BUCKET).distinct().collect()) > 25
+    got = shown(fill.fill(df, within=within, up=up).df.select("_ord", "v", "g", "w"), "_ord")
+    assert got == filled(rows, within, up)
+
+
+def test_buckets_follow_the_order(spark, monkeypatch):
+    """By two columns with ties and nulls, a timestamp, and an order that is the same for all."""
+    monkeypatch.setattr(ordered, "ROWS", 30)
+    df = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 40).alias("a"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 997 % 1000).alias("t"), "id", F.lit(1).alias("one"))
+    for order in (["a", "t"], ["t"], ["a"], ["one"]):
+        rows = ordered.bucketed(df, order).select(ordered.BUCKET, F.struct(*order).alias("k"))
+        ends = rows.groupBy(ordered.BUCKET).agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy(ordered.BUCKET)
+        later = ends.select("high", F.lead("low").over(Window.orderBy(ordered.BUCKET)).alias("next"))
+        assert later.where("not high < next").count() == 0
+        assert ends.count() > 5 or order == ["one"]
+    assert [r["no"] for r in ordered.numbered(df, ["a", "t"], "no").orderBy("a", "t").collect()] == list(range(1000))
+
+
 PEOPLE = [("1", "NL", "10.50", "a@x.com"), ("2", "de", "n/a", ""), ("3", "NL", "7", "b@x.org"), ("4", "", "", "c@x.com"), ("5", "BE", "1_0.5", "d")]
 
 
@@ -119,6 +167,18 @@ def test_group(spark):
         aggregates.group(frame(spark, "k v", [("a", "1"), ("b", "x")]), "k", ["v:sum"])
 
 
+def test_medians_of_skewed_values(spark):
+    """One value for most rows, values far apart, values that are the same double, and groups of one and two."""
+    rows = [("hot", "5")] * 3000 + [("hot", str(i)) for i in range(2000)] + [("far", str(10 ** (i % 17))) for i in range(999)] + [("one", "7"), ("two", "1"), ("two", "2")]
+    rows += [("fine", f"1234567890123456.{i:06d}") for i in range(400)] + [("none", "")]
+    import statistics
+    from decimal import Decimal
+
+    want = {k: statistics.median([Decimal(v) for q, v in rows if q == k]) for k in ("hot", "far", "one", "two", "fine")} | {"none": None}
+    df = spark.createDataFrame(rows, "k string, v string").repartition(5)
+    assert {r["k"]: r["v_median"] for r in aggregates.group(df, "k", ["v:median"]).collect()} == want
+
+
 def test_medians_of_large_groups(spark):
     df = spark.range(30_001).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), ((F.col("id") * 7919) % 30_001).cast("decimal(18,2)").alias("v"))
     pairs = sorted((r["k"], float(r["v"])) for r in df.collect())
