@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
 
     Null and empty texts are texts without words; very long ones are read whole; rows
     without an id or a label of 0 or 1 are not learned from; of rows that repeat an id
-    one label, the larger, holds; with an empty table, or no positive, the model has no
+    one label, the larger, and one text, the least, hold; with an empty table, or no positive, the model has no
     words; other columns are not read.
     """
     known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -136,10 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     prior = min(max(float(share), 1e-3), 0.5)
     order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
     sampled = known.where("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(1).alias("positive"))
-    rest = docs.select("doc_id").where("doc_id is not null").where(~held_out()).orderBy(*order).limit(unlabelled + positives)
-    rest = rest.join(F.broadcast(sampled), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", F.lit(0).alias("positive"))
+    rest = docs.select("doc_id").where("doc_id is not null").where(~held_out()).distinct().orderBy(*order).limit(unlabelled + positives)
+    rest = rest.join(F.broadcast(sampled), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("positive"))
     chosen = F.broadcast(sampled.unionByName(rest))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "positive")
+    # an id that very many rows repeat gives one row, folded before it is shuffled
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("positive").alias("positive"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabloom.llm import queries, toxicity
 
@@ -55,3 +56,18 @@ def test_rows(spark, empty, docs, documents):
     assert len(scored) == len(documents) and all(r["score"] < 0.3 for r in scored)
     kept = toxicity.accepted(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(documents)
+
+
+def test_fitted_on_repeated_ids(spark, docs):
+    """An id that many rows repeat counts as one text, the least; a fitted model scores null, empty and long texts."""
+    words = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 4 == 0, "vile ").otherwise("kind "), F.lit("word "), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = words.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    some = words.where(~toxicity.held_out()).where("doc_id % 4 = 0").first()
+    again = spark.range(3000).select(F.lit(some["doc_id"]).alias("doc_id"), F.concat(F.lit("z kind "), F.col("id").cast("string")).alias("text"))
+    once, often = toxicity.fit(words, labels), toxicity.fit(words.unionByName(again), labels.unionByName(labels))
+    assert len(once.words) and (once.words == often.words).all() and np.allclose(once.weights, often.weights)
+    scored = toxicity.score(docs, often).collect()
+    assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
+    ends = toxicity.score(words, often).join(words, "doc_id").groupBy(F.col("text").startswith("vile").alias("vile")).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    ends = {r["vile"]: r for r in ends.collect()}
+    assert ends[True]["low"] > ends[False]["high"]

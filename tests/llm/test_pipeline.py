@@ -40,6 +40,28 @@ def test_stages(spark):
     assert np.mean([i in kept for i, t in labels.items() if t == 1]) < 0.5
 
 
+def test_edge_rows(spark, docs):
+    """Null, empty and very long texts, ties, repeated rows, null ids and clashing columns go through all stages."""
+    rows = shared.table(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        before, rows = rows, shared.table(stage(spark, rows, SF))
+        ids = Counter(r["doc_id"] for r in rows.collect())
+        had = Counter(r["doc_id"] for r in before.select("doc_id").collect())
+        assert set(ids) <= set(had)
+        if name == "packing":
+            assert set(ids) == set(had) and rows.agg({"length": "min"}).first()[0] > 0
+            continue
+        assert rows.schema.simpleString() == before.schema.simpleString() and ids <= had
+        assert ids == had if name == "line_dedup" else rows.exceptAll(before).count() == 0
+        assert rows.where("th <> 'x'").count() == 0
+
+
+def test_empty_table(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, empty, SF)
+        assert found.count() == 0 and (name == "packing" or found.columns == empty.columns)
+
+
 def test_run_gives_rows(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:1] == ["doc_id"] and rows.count() > 0
