@@ -140,7 +140,8 @@ def line_links(docs: DataFrame, threshold: int = 2, shortest: int = 20) -> DataF
     used = probes.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("probe").alias("probe"))
     keys = shared.table(used.where("low <> high and not probe").select("key"))
     # each task gives a line once for each key, however often it has the line
-    rows = _hashed(probes.join(shared.small(keys), "key").select("line", "key", "probe").distinct())
+    rows = shared.sifted(probes, keys, ["key"]).select("line", "key", "probe").distinct()
+    rows = _hashed(rows.join(shared.small(keys), "key", "left_semi"))
     rows = shared.table(rows.select("key", "probe", "line", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]).alias("name"), _signature().alias("sign")))
     texts = shared.table(rows.groupBy("name", "line").agg(F.first("sign").alias("sign")))
     members = rows.select("key", "probe", "name", "sign")

@@ -9,7 +9,7 @@ import pytest
 from llm_rows import rows_of
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup
+from tabloom.llm import line_dedup, shared
 
 LAST = (1 << 63) - 1
 BLANK = " \t\n\x0b\x0c\r"
@@ -145,3 +145,37 @@ def test_no_python(spark):
     """The main path has no Python."""
     plan = line_dedup.line_dedup(spark.createDataFrame([(r[0], r[1]) for r in rows_of("documents")][:20], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def shuffled(spark):
+    """Rows that each stage so far wrote to a shuffle, by the stage's number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_many_keys(spark, monkeypatch):
+    """Where the keys that lines share are too many to broadcast, lines without one of them are not shuffled, and classes are the same."""
+    monkeypatch.setattr(shared, "SMALL", 0)
+    rng = random.Random(11)
+    rows = near_copies(12) + [(1000 + i, "".join(rng.choices("abcdefghij klmnopq", k=60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as the tables are small here
+    try:
+        check(line_dedup.line_dedup(df).collect(), rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first, second = sorted((n for s, n in shuffled(spark).items() if s not in before), reverse=True)[:2]
+    assert first > 3_000 and second < first / 3, (first, second)  # the count of all keys is the one large shuffle
+
+
+def test_sieve(spark, monkeypatch):
+    """All rows of the keys pass and few others, whether the keys are broadcast or not."""
+    keys = shared.table(spark.range(0, 600_000, 3).select(F.xxhash64("id").alias("key"), (F.col("id") % 7).alias("part")))
+    rows = spark.range(0, 600_000).select("id", F.xxhash64("id").alias("key"), (F.col("id") % 7).alias("part"))
+    assert shared.sifted(rows, keys, ["key", "part"]).count() == 200_000
+    monkeypatch.setattr(shared, "SMALL", 0)
+    found = shared.sifted(rows, keys, ["key", "part"])
+    assert found.columns == rows.columns and found.where("id % 3 = 0").count() == 200_000 and found.where("id % 3 > 0").count() < 4_000
