@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabloom.llm import quality, queries
 
@@ -66,3 +67,20 @@ def test_forest():
 def test_no_rows(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.assess(empty, quality.fit(empty, labels)).count() == 0
+
+
+def test_all_labelled_rows(spark, monkeypatch):
+    """Beyond 20,000 labels each labelled row is still drawn from or calibrated on, and the threshold keeps its share of all good ones."""
+    rows = [(i, " ".join(f"w{(i * 7919 + k * (k + i % 89)) % 4001}" for k in range(55 + i % 17)) + ("!" * 400 if i % 250 == 0 else "")) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 250 > 0)) for i, _ in rows], "doc_id long, quality int")
+    seen = {}
+    grow = quality.grow
+    monkeypatch.setattr(quality, "grow", lambda x, **how: seen.setdefault("grown", x) is None or grow(x, **how))
+    forest = quality.fit(docs, labels)
+    assert len(seen["grown"]) > 11_500
+    x = quality.rule_statistics(docs).toPandas()
+    half = x["doc_id"].isin([r[0] for r in spark.createDataFrame(rows, "doc_id long, text string").where(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(1)) == 1).select("doc_id").collect()])
+    assert half.sum() + len(seen["grown"]) == 24_000
+    counts = x[half & (x["doc_id"] % 250 > 0)][[*quality.COUNTS, *quality.EXTRA]].to_numpy()
+    assert np.mean(forest.score(quality.features(counts)) <= forest.threshold) >= 0.995
