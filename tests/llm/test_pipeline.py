@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 from test_line_dedup import brute as brute_lines
+from test_line_dedup import shuffled
 from test_simhash import brute_groups
 
 from tabloom.llm import shared
@@ -65,3 +66,21 @@ def test_empty_table(spark, empty):
 def test_run_gives_rows(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:1] == ["doc_id"] and rows.count() > 0
+
+
+def test_lines_with_many_keys(spark, monkeypatch):
+    """In line_dedup, lines whose segments no other line has are not shuffled where the shared segments are too many to broadcast."""
+    monkeypatch.setattr(shared, "SMALL", 0)
+    random = np.random.default_rng(4)
+    rows = [(i, "".join(random.choice(list("abcdefghij klmnopq"), 60))) for i in range(300)]
+    rows += [(1000, rows[5][1] + "x"), (1001, rows[6][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as the tables are small here
+    try:
+        found = corpus_pipeline.drop_lines(spark, df, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter(map(tuple, found)) == Counter((i, t) for i, t, *_ in brute_lines(rows))
+    first, second = sorted((n for s, n in shuffled(spark).items() if s not in before), reverse=True)[:2]
+    assert first > 3_000 and second < first / 3, (first, second)
