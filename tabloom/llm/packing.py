@@ -32,8 +32,9 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins words over white space.
 
-    Each different word is encoded once and kept (up to ``most`` words); a text's
-    ids are those of its words in order.
+    Each different word is encoded once and kept (up to ``most`` words), at 16 bytes
+    and its ids, which take two bytes each where the vocabulary allows; a text's ids are
+    those of its words in order.
     """
 
     def __init__(self, path: str, most: int = 1_500_000):
@@ -41,31 +42,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Encode new words; keys are sorted."""
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for one in found for x in one), np.uint32, int(sizes.sum()))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.words + len(words) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        slots = np.arange(self.words, self.words + len(words))
-        self.size[slots] = sizes
-        self.first[slots] = self.used + np.cumsum(sizes) - sizes
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        #: The ids of all words, and where those of a slot begin; the next slot's begin where they end.
+        self.pool, self.first = np.zeros(1 << 16, self.kind), np.zeros(1024, np.uint32)
+        self.used = self.words = 0
+
+    def _learn(self, keys: np.ndarray, words: list[str], step: int = 4096) -> None:
+        """Encode new words, a few at a time, as the tokenizer gives much more than ids; keys are sorted."""
+        slots = np.arange(self.words, self.words + len(keys), dtype=np.uint32)
+        self.first = _room(self.first, self.words + len(keys) + 1)
+        for at in range(0, len(words), step):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + step], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ends = self.used + np.cumsum(sizes)
+            self.pool = _room(self.pool, int(ends[-1]))
+            self.pool[self.used : ends[-1]] = np.fromiter((x for one in found for x in one), self.kind, int(sizes.sum()))
+            self.first[self.words + 1 : self.words + 1 + len(found)] = ends
+            self.used = int(ends[-1])
+            self.words += len(found)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
-        self.used += len(ids)
-        self.words += len(words)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -81,13 +81,18 @@ class WordTokenizer:
             raw = data.tobytes()
             self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist())])
             place = np.searchsorted(self.keys, keys)
-        slots = (self.slot[place] if len(keys) else place)[inverse]
-        sizes = self.size[slots]
-        ids = self.pool[ranges(self.first[slots], sizes)]
+        slots = (self.slot[place].astype(np.int64) if len(keys) else place)[inverse]
+        sizes = self.first[slots + 1].astype(np.int64) - self.first[slots]
+        ids = self.pool[ranges(self.first[slots], sizes)].astype(np.uint32)
         total = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.diff(total[words.bounds])
 
 
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """The array, with a quarter more of zeros where it is shorter than size."""
+    return held if size <= len(held) else np.concatenate([held, np.zeros(size + size // 4 - len(held), held.dtype)])
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp multiway number partitioning: the items of each window."""
     zeros = np.zeros(windows, np.int64)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tabloom.llm import packing
+from tabloom.llm import packing, shared
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -70,6 +70,35 @@ def test_words_encode_as_whole_text(text):
     assert counts.tolist() == [len(ids)]
 
 
+def test_memory_of_words():
+    """60,000 different words, kept in a few parts of what they took as long numbers, with the ids of the whole text."""
+    text = " ".join(f"{i:x}q{i % 9973}" for i in range(60_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    tokenizer = packing.WordTokenizer(PATH)
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    for _ in range(2):  # new words, then known ones
+        ids, counts = tokenizer.encode(data, np.array([0, len(data)]))
+        assert ids.dtype == np.uint32 and ids.tolist() == want and counts.tolist() == [len(want)]
+    assert tokenizer.words == 60_000
+    held = sum(x.nbytes for x in vars(tokenizer).values() if isinstance(x, np.ndarray))
+    assert held < 24 * 60_000 + 3 * len(want), held / 60_000
+
+
+def test_freed_memory_goes_back():
+    """What a task has freed below a block that is still in use is given back."""
+
+    def resident() -> int:
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    blocks = [bytes(2000) for _ in range(100_000)]
+    last = blocks.pop()
+    del blocks
+    before = resident()
+    shared.release()
+    assert before - resident() > 100_000_000 and len(last) == 2000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 256), min_size=1, max_size=120))
 def test_windows(sizes):
