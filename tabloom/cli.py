@@ -74,6 +74,9 @@ class Run:
     def texts(self, names: list[str]) -> DataFrame:
         return delimited.read_text(self.spark, [self.path(n) for n in names], self.args.encoding)
 
+    def lines(self, names: list[str]) -> DataFrame:
+        return delimited.read_lines(self.spark, [self.path(n) for n in names], self.args.encoding)
+
     def write(self, df: DataFrame, inputs: list[str] = ()) -> int:
         if self.args.output:
             sinks.one_csv(df, self.args.output, line_end="\r\n" if getattr(self.args, "crlf", False) else "\n", bom=getattr(self.args, "bom", False), inputs=list(inputs) or [getattr(self.args, "file", "")], force=self.args.force)
@@ -301,14 +304,16 @@ def _to_json(run: Run) -> int:
 @command("from-json", FILE, ("--path", {}), ("--lines", FLAG), ("--join", {}))
 def _from_json(run: Run) -> int:
     a = run.args
-    found = records.records_of(run.texts([a.file]), path=a.path, lines=a.lines or a.file.endswith((".jsonl", ".ndjson")))
+    by_line = a.lines or a.file.endswith((".jsonl", ".ndjson"))
+    found = records.records_of(run.lines([a.file]) if by_line else run.texts([a.file]), path=a.path, lines=by_line)
     return run.write(records.flat_table(found, a.join))
 
 
 @command("json", FILE, ("--compact", FLAG), ("--sort-keys", FLAG), ("--ascii", FLAG), ("--strict-keys", FLAG), ("--lines", FLAG), ("--check", FLAG))
 def _json(run: Run) -> int:
     a = run.args
-    found = records.reformatted(run.texts([a.file]), lines=a.lines, indent=None if a.compact else 2, sort_keys=a.sort_keys, ascii_only=a.ascii, strict_keys=a.strict_keys).collect()
+    found = records.reformatted(run.lines([a.file]) if a.lines else run.texts([a.file]), lines=a.lines, indent=None if a.compact else 2, sort_keys=a.sort_keys, ascii_only=a.ascii, strict_keys=a.strict_keys)
+    found = (found.orderBy(ORDINAL) if a.lines else found).collect()
     for r in found:
         print(r["formatted"] if r["error"] is None else f"{a.file}:{r['error']}", file=sys.stdout if r["error"] is None else sys.stderr)
     changed = a.check and not a.lines and any(r["text"].rstrip("\n") != r["formatted"] for r in found if r["error"] is None)

@@ -234,7 +234,7 @@ def json_lines_round_trip(spark, sf):
     rows = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name.full"), F.lit('x\t"').alias("name.mark"), (F.col("c_custkey") % 2 == 0).alias("even"), F.lit(" ").alias("nothing"))
     path = scratch(spark)
     sinks.json_lines(records.as_json(rows, nest=True), path)
-    return records.flat_table(records.records_of(delimited.read_text(spark, f"{path}/*.txt"), lines=True))
+    return records.flat_table(records.records_of(delimited.read_lines(spark, f"{path}/*.txt"), lines=True))
 
 
 @query("select cast(o_orderkey as varchar) as k, o_orderstatus as \"s.t\", cast(o_orderkey as bigint) as doc from orders union all select 'last', '', o_orderkey from orders")

@@ -49,6 +49,22 @@ def test_diff_gives_all_rows(capsys, tmp_path, spark):
     assert run(capsys, "diff", str(old), str(old), "-k", "id") == (0, "no differences\nadded 0, removed 0, changed 0, unchanged 1203\n")
 
 
+def test_json_lines(capsys, tmp_path, spark):
+    """Lines in order and by their numbers, though tasks get a part of the file each."""
+    path = tmp_path / "x.jsonl"
+    path.write_text("".join(f'{{"k": {i}}}\n\n' for i in range(2000)) + '{"k": NaN}\n[1 ]')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert main(["json", str(path), "--lines"]) == 1
+        out, err = capsys.readouterr()
+        assert out == "".join(f'{{"k":{i}}}\n' for i in range(2000)) + "[1]\n" and err == f"{path}:4001: NaN is not valid JSON\n"
+        path.write_text("".join(f'{{"k": {i}}}\n\n' for i in range(2000)))
+        assert run(capsys, "from-json", str(path)) == (0, "k\n" + "".join(f"{i}\n" for i in range(2000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_commands_are_declared(spark):
     assert len(COMMANDS) == 37
     with pytest.raises(SystemExit):

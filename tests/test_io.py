@@ -98,3 +98,44 @@ def test_tables_are_split_unless_cells_hold_line_ends(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == sorted([*rows, ("x", "two\nlines")])
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_lines_are_split_among_tasks(spark, tmp_path):
+    """Lines of two files, cut at all of Python's line ends and numbered over the splits; no task gets a file whole."""
+    ends = ["\n", "\r\n", "\r", "\n\n", "\x0b", "\x85", " ", "\x1d\n"]
+    texts = {name: "﻿" + "".join(f'{{"{k}": "{name} {i} é"}}{ends[i % len(ends)]}' for i in range(3000)) for name, k in (("b + 1%.jsonl", "x"), ("a é.jsonl", "y"))}
+    for name, value in texts.items():
+        (tmp_path / name).write_bytes(value.encode())
+    want = [(name, i, line) for name in sorted(texts) for i, line in enumerate(texts[name].removeprefix("﻿").splitlines(), 1)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = delimited.read_lines(spark, f"{tmp_path}/*.jsonl")
+        assert rows.rdd.getNumPartitions() > 8
+        got = [tuple(r) for r in rows.orderBy("_ord").collect()]
+        assert [(f.rsplit("/", 1)[1], n, t) for f, _, n, t in got] == want and [o for _, o, _, _ in got] == list(range(len(want)))
+        assert {f for f, _, _, _ in got} == {r["_file"] for r in delimited.read_text(spark, f"{tmp_path}/*.jsonl").collect()}
+        table = records.flat_table(records.records_of(rows, lines=True))
+        assert table.columns == ["y", "x"] and [r["y"] or r["x"] for r in table.collect()] == [f"{n} {i} é" for n in sorted(texts) for i in range(3000)]
+        n = next(n for name, n, line in want if name == "a é.jsonl" and " 2900 " in line)
+        (tmp_path / "a é.jsonl").write_bytes(texts["a é.jsonl"].replace('{"y": "a é.jsonl 2900', '{"y": NaN, "a é.jsonl 2900').encode())
+        bad = records.records_of(delimited.read_lines(spark, f"{tmp_path}/a*.jsonl"), lines=True)
+        with pytest.raises(Exception, match=f"{n}: NaN is not valid JSON"):
+            bad.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("encoding", ["cp1252", "latin-1", "utf-16", "shift_jis", "cp500", "utf-8-sig", "utf-7", "iso2022_jp"])
+def test_lines_of_encodings(spark, tmp_path, encoding):
+    value = 'a\r\nb "x"\n\nc\x1cd\re' + ("\x85…\nz" if encoding in ("utf-16", "utf-8-sig", "utf-7") else "\x85z" if encoding == "latin-1" else "…" if encoding == "cp1252" else "")
+    (tmp_path / "x.txt").write_bytes(value.encode(encoding))
+    assert [tuple(r) for r in delimited.read_lines(spark, f"{tmp_path}/x.txt", encoding).orderBy("_ord").select("_line", "text").collect()] == list(enumerate(value.splitlines(), 1))
+    (tmp_path / "empty.txt").write_bytes(b"")
+    assert delimited.read_lines(spark, f"{tmp_path}/empty.txt", encoding).collect() == []
+
+
+def test_lines_of_bad_bytes(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes("a\nb\né".encode("cp1252"))
+    with pytest.raises(Exception, match="line 3 behind byte 0: not utf-8: byte 0xe9 at offset 0"):
+        delimited.read_lines(spark, f"{tmp_path}/x.txt").collect()
