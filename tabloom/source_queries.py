@@ -17,7 +17,7 @@ from tabloom.functions import dates, numbers, text
 from tabloom.operators import aggregates, cells, checks, files, fill, filters, joins, lines, projection, records, reshape, sorting
 from tabloom.plans import render, specs
 from tabloom.plans.result import Refused
-from tabloom.queries import query, table
+from tabloom.queries import query, spread, table
 from tabloom.sources import delimited, sinks
 
 
@@ -327,7 +327,7 @@ def bin_problems(spark, sf):
     from (select c_custkey, cast(c_acctbal as decimal(18,2)) as b from customer), (select unnest(['floor', 'ceiling', 'down', 'half-up', 'half-even']) as m)""")
 def rounding(spark, sf):
     """All ways of rounding to a decimal."""
-    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("b"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("b")))
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), numbers.rounded(F.col("b"), 1, m).cast("double").alias("v")) for m in numbers.MODES])).alias("x")
     return rows.select("c_custkey", each).select("c_custkey", "x.m", "x.v")
 

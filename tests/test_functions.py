@@ -186,3 +186,27 @@ def test_json_hint():
     with pytest.raises(ValueError, match="try the path rows"):
         js.records({"n": 1, "rows": [{"a": 1}], "more": []})
     assert js.records({"n": 1}) == [{"n": 1}]
+
+
+def test_strip_knows_all_of_unicode(spark):
+    """Each character alone, at both ends of a text, and within one: as Python's strip."""
+    cases = [f"{chr(i)}{chr(i)}a{chr(i)}b{chr(i)}" for i in range(0x3100) if not 0xD800 <= i < 0xE000] + ["\U0001f600 ", "", " ", None]
+    assert [r[0] for r in each(spark, cases, s=lambda c: text.strip(text.cell(c)))] == [(c or "").strip() for c in cases]
+
+
+def test_rounding_reads_its_cell_once(spark):
+    """However many steps it takes; a cell that is read at every step is trimmed and matched there again."""
+    df = spark.createDataFrame([("2.345",)], "cell_read string")
+    for places in (2, 0, -2):
+        for mode in numbers.MODES:
+            plan = df.select(numbers.rounded(F.col("cell_read"), places, mode).alias("x"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+            assert plan.count("cell_read#") == 1
+
+
+def test_rounding_of_long_numbers(spark):
+    cases = ["9" * 38, "9" * 38 + ".4", "9" * 38 + ".5", "-" + "9" * 38 + ".9", "0" * 60 + "1.5", "1" * 39, "0." + "0" * 60 + "5", "3." + "5" * 60]
+    got = each(spark, cases, up=lambda c: numbers.rounded(c, 0), down=lambda c: numbers.rounded(c, 0, "down"), ceiling=lambda c: numbers.rounded(c, 1, "ceiling"), tens=lambda c: numbers.rounded(c, -1))
+    assert [r[0] for r in got] == ["9" * 38, "9" * 38, None, None, "2", None, "0", "4"]
+    assert [r[1] for r in got] == ["9" * 38, "9" * 38, "9" * 38, "-" + "9" * 38, "1", None, "0", "3"]
+    assert [r[2] for r in got] == [None, None, None, None, "1.5", None, "0.1", "3.6"]
+    assert [r[3] for r in got] == ["1" + "0" * 38, "1" + "0" * 38, "1" + "0" * 38, "-1" + "0" * 38, "0", "1" * 38 + "0", "0", "0"]

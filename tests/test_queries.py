@@ -44,3 +44,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["rounding", "round_modes"])
+def test_long_work_on_rows_is_dealt_to_all_cores(spark, name):
+    """The tables have one row group, so that their scan is one task with rows."""
+    sizes = QUERIES[name](spark, SF).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) >= cores and max(sizes) <= 2 * sum(sizes) / len(sizes) + 10
